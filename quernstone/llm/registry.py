@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from quernstone.llm import near_dup
+from quernstone.llm import chat, decontaminate, near_dup, repetition
 
 QUERIES = {
+    "op2_repetition": repetition.op2_repetition,
+    "op8_fm_index": decontaminate.op8_fm_index,
+    "op9_chat": chat.op9_chat,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 ORACLE_SQL = {
+    "op8_fm_index": decontaminate.OP8_SQL,
+    "op9_chat": chat.OP9_SQL,
     "op10_near_duplicates": near_dup.OP10_SQL,
 }
