@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat, decontaminate, near_dup, repetition
+from quernstone.llm import chat, decontaminate, language_model, near_dup, repetition, suffix_dedup
 
 QUERIES = {
     "op2_repetition": repetition.op2_repetition,
+    "op4_deep_shallow": suffix_dedup.op4_deep_shallow,
+    "op5_recurrent_lm": language_model.op5_recurrent_lm,
     "op8_fm_index": decontaminate.op8_fm_index,
     "op9_chat": chat.op9_chat,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
