@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat, decontaminate, language_model, near_dup, repetition, suffix_dedup
+from quernstone.llm import chat, decontaminate, language_model, license_scan, line_align, mixing, near_dup, repetition, suffix_dedup
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_repetition": repetition.op2_repetition,
     "op4_deep_shallow": suffix_dedup.op4_deep_shallow,
     "op5_recurrent_lm": language_model.op5_recurrent_lm,
+    "op6_line_alignment": line_align.op6_line_alignment,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_fm_index": decontaminate.op8_fm_index,
     "op9_chat": chat.op9_chat,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
