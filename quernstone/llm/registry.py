@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat, decontaminate, language_model, license_scan, line_align, mixing, near_dup, repetition, suffix_dedup
+from quernstone.llm import chat, decontaminate, language_model, license_scan, line_align, mixing, near_dup, pii, repetition, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_repetition": repetition.op2_repetition,
+    "op3_contextual_pii": pii.op3_contextual_pii,
     "op4_deep_shallow": suffix_dedup.op4_deep_shallow,
     "op5_recurrent_lm": language_model.op5_recurrent_lm,
     "op6_line_alignment": line_align.op6_line_alignment,
