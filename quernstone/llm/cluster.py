@@ -46,3 +46,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns the operators read, under fixed names, whatever else there is."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed c0, c1 ... so that no name can clash, and the new name of each."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def named_again(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that :func:`numbered` renamed, under their own names."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))

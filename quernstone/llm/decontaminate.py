@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import textkernel as tk
-from quernstone.llm.cluster import documents, id_text
+from quernstone.llm.cluster import documents, id_text, named_again, numbered
 from quernstone.llm.repetition import suffix_order
 
 WINDOW = 13
@@ -196,7 +196,7 @@ def split_at(starts: np.ndarray, ends: np.ndarray, ptr: np.ndarray) -> tuple[np.
 _SPANS = pa.list_(pa.int64())
 
 
-def _pass(phrases_blob):
+def _pass(phrases_blob, text_col: str = "text"):
     """One pass: adds what one block of phrases finds to ``spans`` (flat pairs of words) and ``items``."""
 
     def run(batches):
@@ -204,7 +204,7 @@ def _pass(phrases_blob):
         for batch in batches:
             spans_before, items_before = (batch.column(c).to_pylist() for c in ("spans", "items"))
             counts, spans, items = [], [], []
-            for chunk in tk.chunks(batch.column("text")):
+            for chunk in tk.chunks(batch.column(text_col)):
                 ptr, s, e, d, i = scan(chunk, phrases)
                 s, e = split_at(s, e, ptr) if len(s) else (s, e)
                 own = np.searchsorted(s, ptr)
@@ -217,11 +217,24 @@ def _pass(phrases_blob):
                         a, b = tk.merge_spans(np.append(a, old_s[0::2]), np.append(b, old_s[1::2]))
                     spans.append(np.stack([a, b], 1).ravel().tolist())
                     items.append(sorted({*i[at[k] : at[k + 1]].tolist(), *old_i}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, _SPANS)], names=["doc_id", "text", "n_words", "spans", "items"])
+            found = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _SPANS)}
+            yield pa.RecordBatch.from_arrays([found.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
     return run
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``n_words, spans, items, n_hit, contaminated`` after all blocks of the benchmark."""
+    empty = F.array().cast("array<bigint>")
+    found = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": empty, "items": empty})
+    for block in blocks(benchmark):
+        phrases = docs.sparkSession.sparkContext.broadcast(phrases_of(block))
+        found = found.mapInArrow(_pass(phrases, text_col), found.schema)
+    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda n, k: n + F.get("spans", k + 1) - F.get("spans", k))
+    found = found.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= PERCENT * F.col("n_words")))
+
+
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
     """The benchmark's rows with an id and a text, in blocks of bounded size."""
     block, size = [], 0
@@ -245,14 +258,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     without words match nothing; repeated rows stay; an empty benchmark
     contaminates nothing; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    empty = F.array().cast("array<bigint>")
-    found = id_text(docs, id_col, text_col).withColumns({"n_words": F.lit(0).cast("long"), "spans": empty, "items": empty})
-    for block in blocks(benchmark):
-        found = found.mapInArrow(_pass(spark.sparkContext.broadcast(phrases_of(block))), "doc_id long, text string, n_words long, spans array<long>, items array<long>")
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda n, k: n + F.get("spans", k + 1) - F.get("spans", k))
-    found = found.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= PERCENT * F.col("n_words")))
+    return _passes(id_text(docs, id_col, text_col), benchmark, "text")
+
+
+def keep_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't contaminated.  No shuffle."""
+    rows, names = numbered(docs)
+    return named_again(_passes(rows, benchmark, names[text_col]).filter("not contaminated"), names)
 
 
 def _cut(batches):

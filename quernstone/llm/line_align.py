@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import textkernel as tk
-from quernstone.llm.cluster import cut, documents, id_text
+from quernstone.llm.cluster import cut, documents, id_text, named_again, numbered
 
 RARE = 50
 MIN_WORDS = 10
@@ -125,36 +125,39 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "fp", "gone"])
 
 
-def _delete(batches):
-    """``gone`` counts lines with words."""
-    for batch in batches:
-        n_lines, removed, texts = [], [], []
-        for chunk in tk.chunks(batch.column("text")):
-            for k in range(chunk.n):
-                gone, text = batch.column("gone")[chunk.lo + k].as_py(), chunk.text(k)
-                lines = text.split(b"\n") if text else []
-                n_lines.append(len(lines))
-                removed.append(len(gone or ()))
-                if gone:
-                    drop, seen, kept = set(gone), -1, []
-                    for line in lines:
-                        seen += bool(line.strip(b" \t\n\r\x0b\x0c"))
-                        if not (line.strip(b" \t\n\r\x0b\x0c") and seen in drop):
-                            kept.append(line)
-                    text = b"\n".join(kept)
-                texts.append(text.decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
+def without_lines(text: bytes, gone) -> tuple[bytes, int]:
+    """``text`` without the lines of the numbers ``gone``, counting lines with words; and how many lines it had."""
+    lines = text.split(b"\n") if text else []
+    if gone:
+        drop, seen, kept = set(gone), -1, []
+        for line in lines:
+            some = bool(line.strip(b" \t\n\r\x0b\x0c"))
+            seen += some
+            if not (some and seen in drop):
+                kept.append(line)
+        text = b"\n".join(kept)
+    return text, len(lines)
 
 
-def align_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_lines, n_removed, text`` (what is left).
+def _delete(text_col: str):
+    """Replaces the text column and fills ``n_lines`` and ``n_removed``."""
 
-    All deletions are decided on the input.  Null and empty texts have no
-    lines.  A null id is neither earlier nor later than others: its text stays
-    whole.  Rows with one id are not aligned with each other, and each gets
-    the deletions of its own text.  Other columns are not looked at.
-    """
-    docs = id_text(docs, id_col, text_col).withColumn("fp", F.xxhash64("text"))
+    def run(batches):
+        for batch in batches:
+            gone, n_lines, texts = batch.column("gone").to_pylist(), [], []
+            for chunk in tk.chunks(batch.column(text_col)):
+                for k in range(chunk.n):
+                    text, n = without_lines(chunk.text(k), gone[chunk.lo + k])
+                    n_lines.append(n)
+                    texts.append(text.decode())
+            new = {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(g or ()) for g in gone], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    return run
+
+
+def _lines_gone(docs: DataFrame) -> DataFrame:
+    """``(id, fp, gone)`` of the texts of ``docs(doc_id, text, fp)`` that lose lines."""
     rows = cut(docs.filter("doc_id is not null and text is not null").mapInArrow(_sequences, "doc_id long, fp long, lines array<bigint>, n_words array<bigint>").filter(F.size("lines") > 0))
     lines = rows.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     shared = lines.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
@@ -164,8 +167,35 @@ def align_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     earlier = rows.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
     pairs = partners.join(rows, "doc_id").join(earlier, "first").select("doc_id", "fp", "lines", "n_words", "earlier")
     gone = pairs.mapInArrow(_align, "doc_id long, fp long, gone array<int>").filter(F.size("gone") > 0)
-    gone = gone.groupBy("doc_id", "fp").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    return docs.join(gone, ["doc_id", "fp"], "left").select("doc_id", "text", "gone").mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, text string")
+    return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _apply(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` with the text column cut, and ``n_lines`` and ``n_removed``."""
+    text = F.col(text_col).cast("string")
+    marked = rows.withColumns({text_col: text, "id": F.col(id_col).cast("long"), "fp": F.xxhash64(text)})
+    gone = _lines_gone(marked.select(F.col("id").alias("doc_id"), F.col(text_col).alias("text"), "fp"))
+    joined = marked.join(gone, F.expr("id = gone_id and fp = gone_fp"), "left").drop("id", "fp", "gone_id", "gone_fp")
+    joined = joined.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")})
+    return joined.mapInArrow(_delete(text_col), joined.schema)
+
+
+def align_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_lines, n_removed, text`` (what is left).
+
+    All deletions are decided on the input.  Null and empty texts have no
+    lines; what is left of a null is empty.  A null id is neither earlier nor
+    later than others: its text stays whole.  Rows with one id are not aligned
+    with each other, and each gets the deletions of its own text.  Other
+    columns are not looked at.
+    """
+    return _apply(id_text(docs, id_col, text_col), "doc_id", "text").select("doc_id", "n_lines", "n_removed", "text")
+
+
+def align_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and what :func:`align_lines` leaves of the texts."""
+    rows, names = numbered(docs)
+    return named_again(_apply(rows, names[id_col], names[text_col]), names)
 
 
 def op6_line_alignment(spark, sf_dir: str) -> DataFrame:

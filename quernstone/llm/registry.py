@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quernstone.llm import chat, decontaminate, language_model, license_scan, line_align, mixing, near_dup, pii, repetition, suffix_dedup
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": mixing.op1_mixing,
     "op2_repetition": repetition.op2_repetition,
     "op3_contextual_pii": pii.op3_contextual_pii,

@@ -162,5 +162,16 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return id_text(docs, id_col, text_col).mapInArrow(_measure, SCHEMA)
 
 
+def keep_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep.  No shuffle."""
+
+    def keep(batches):
+        for batch in batches:
+            kept = [measure(chunk)["kept"] for chunk in tk.chunks(batch.column(text_col))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op2_repetition(spark, sf_dir: str) -> DataFrame:
     return repetition_rules(documents(spark, sf_dir))
