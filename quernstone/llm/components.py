@@ -12,20 +12,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.cluster import cut
+from quernstone.llm.cluster import cut, partitions
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+#: Edges a task of a small graph takes; larger graphs use all shuffle partitions.
+EDGES_PER_TASK = 100_000
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
+    both = _both_ways(edges)
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
+    linked = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return linked.coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a")
-    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+    linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return linked.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").coalesce(tasks).distinct().coalesce(tasks)
+
+
+def quick_labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
+    """``(id, component)`` such that equal labels mean connected; connected vertices may still differ.
+
+    The least neighbour, then ``jumps`` times the label of the label: a few
+    shuffles where only an upper bound of what is left to do is needed.
+    """
+    now = _both_ways(edges.filter("a <> b")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
+    for _ in range(jumps):
+        up = now.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        now = now.join(up, "component", "left").select("id", F.least("component", "above").alias("component"))
+    return now
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,9 +58,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     gives an empty result.
     """
     now = cut(edges.select("a", "b").filter("a <> b").distinct())
-    seen = None
+    tasks = max(1, min(partitions(edges.sparkSession), now.count() // EDGES_PER_TASK + 2))
+    now, seen = now.coalesce(tasks), None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now, tasks), tasks))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -10,35 +10,39 @@
    among the rarest of both, so values that many documents have cost nothing
    unless a document consists of little else.
 3. Overlaps are generated star-wise: in each list every document meets a
-   pivot, over a few rounds with different pivots, and only while the two lie
-   in different components.  What the stars have not settled is then compared
-   in full: all pairs of a list's documents in different components, by
-   matrix products over blocks of the list's sketches.  There is no cap.
-4. The sketch of the union estimates the similarity and drops pairs far below
-   the threshold; the exact Jaccard coefficient on full shingle sets decides.
+   pivot, over a few rounds with different pivots, and only while the two are
+   not known to be connected.  The sketch of the union estimates the similarity
+   and drops pairs far below the threshold; the exact Jaccard coefficient of
+   the full shingle sets decides.
+4. What the stars have not settled is compared in full: all pairs of a list's
+   documents in different components, by products of incidence matrices over
+   blocks of full sets.  Lists that begin with one document go together.  There is no cap, and only confirmed links come out,
+   as many as it takes to join the components of two blocks.
 5. Connected components of the confirmed links.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm import buckets as bk
 from quernstone.llm import textkernel as tk
 from quernstone.llm.cluster import cut, documents, id_text
-from quernstone.llm.components import connected_components
+from quernstone.llm.components import connected_components, quick_labels
 
 SKETCH = 64
 #: Shared values expected of two sketches at similarity 0.75 are 48 or more (sd 3.5); 30 is five sd below.
 SHARED = 30
-PIVOT_ROUNDS = 3
-BLOCK = 512
+PIVOT_ROUNDS = 2
+#: Shingles of a block.
+BLOCK = 200_000
 WORD_SHINGLE = 5
 NUM, DEN = 75, 100
+#: Sets travel as the low 48 bits of their hashes.
+LOW48 = np.uint64((1 << 48) - 1)
 
 
 def prefix_length(n: int) -> int:
@@ -82,32 +86,32 @@ def _values(batches):
 
 def _full_sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), tk.binaries(list(tk.shingle_sets(batch.column("text"), WORD_SHINGLE)))], names=["id", "full"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), tk.binaries([bk.pack48(np.unique(s & LOW48)) for s in tk.shingle_sets(batch.column("text"), WORD_SHINGLE)])], names=["id", "full"])
 
 
 def estimate_passes(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
-    """Whether the sketch of the union leaves a similarity of 0.75 possible."""
+    """Whether the sketch of the union (``a``, ``b``: the sets' sketches) leaves a similarity of 0.75 possible."""
     if DEN * min(n_a, n_b) < NUM * max(n_a, n_b):
         return False
-    union = np.union1d(a, b)[:SKETCH]
     if n_a <= SKETCH and n_b <= SKETCH:
         return True
-    shared = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
-    return int(shared.sum()) >= math.floor(SHARED * len(union) / SKETCH)
+    both = np.sort(np.concatenate([a, b]))
+    twice = both[1:] == both[:-1]
+    union = np.append(True, ~twice)
+    last = both[union][:SKETCH][-1]
+    return int((twice & (both[1:] <= last)).sum()) >= SHARED
 
 
 def _verify(batches):
     """Keeps the pairs whose full sets have 100 * intersection >= 75 * union."""
     for batch in batches:
-        a_buf, a_offs = tk.layout(batch.column("full_a"))
-        b_buf, b_offs = tk.layout(batch.column("full_b"))
-        a_all, b_all = (np.frombuffer(x.tobytes(), np.uint64) for x in (a_buf, b_buf))
         keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            a, b = a_all[a_offs[i] // 8 : a_offs[i + 1] // 8], b_all[b_offs[i] // 8 : b_offs[i + 1] // 8]
-            if DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)) or not estimate_passes(a[:SKETCH], b[:SKETCH], len(a), len(b)):
+        for i, (a, b) in enumerate(zip(batch.column("full_a"), batch.column("full_b"))):
+            a, b = bk.unpack48(a.as_py()), bk.unpack48(b.as_py())
+            if not estimate_passes(a[:SKETCH], b[:SKETCH], len(a), len(b)):
                 continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
+            both = np.sort(np.concatenate([a, b]))
+            both = int((both[1:] == both[:-1]).sum())
             keep[i] = DEN * both >= NUM * (len(a) + len(b) - both) and both > 0
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -118,39 +122,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "full_a", "full_b").mapInArrow(_verify, "a long, b long")
 
 
-def _block_pairs(batches):
-    """Pairs of two blocks' documents that lie in different components and share enough."""
+def _unite(parent: dict, a: int, b: int) -> bool:
+    for x in (a, b):
+        parent.setdefault(x, x)
+    while parent[a] != a:
+        a = parent[a] = parent[parent[a]]
+    while parent[b] != b:
+        b = parent[b] = parent[parent[b]]
+    parent[max(a, b)] = min(a, b)
+    return a != b
+
+
+def _block_links(batches):
+    """Confirmed links between two blocks' documents: as many as it takes to join their components.
+
+    One product of incidence matrices over the shingles that both blocks have
+    gives all intersection sizes at once.
+    """
     for batch in batches:
-        rows = batch.to_pydict()
         out_a, out_b = [], []
-        for k in range(batch.num_rows):
+        for row in batch.to_pylist():
             sides = []
             for s in ("x", "y"):
-                members = rows[f"{s}_members"][k]
-                ids = np.array([m["id"] for m in members], np.int64)
-                sides.append((ids, np.array([m["n"] for m in members], np.int64), np.array([m["comp"] for m in members], np.int64), [np.frombuffer(m["sketch"], np.uint64) for m in members]))
-            (ids_a, n_a, c_a, sk_a), (ids_b, n_b, c_b, sk_b) = sides
-            common = np.intersect1d(np.concatenate(sk_a), np.concatenate(sk_b))
-            shared = np.zeros((len(ids_a), len(ids_b)), np.float32)
-            for lo in range(0, len(common), 4096):
-                part = common[lo : lo + 4096]
+                members = sorted(row[s], key=lambda m: m["id"])
+                sides.append(([m["id"] for m in members], np.array([m["comp"] for m in members], np.int64), [bk.unpack48(m["full"]) for m in members]))
+            (ids_a, c_a, full_a), (ids_b, c_b, full_b) = sides
+            n_a, n_b = (np.array([len(f) for f in x], np.int64) for x in (full_a, full_b))
+            in_a, in_b = np.concatenate(full_a), np.concatenate(full_b)
+            of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+            common = np.intersect1d(in_a, in_b)
+            both = np.zeros((len(n_a), len(n_b)), np.float32)
+            for lo in range(0, len(common), 2048):
+                part = common[lo : lo + 2048]
                 hit = []
-                for sketches in (sk_a, sk_b):
-                    m = np.zeros((len(sketches), len(part)), np.float32)
-                    for r, s in enumerate(sketches):
-                        at = np.searchsorted(part, s)
-                        at[at == len(part)] = 0
-                        m[r, at[part[at] == s]] = 1
+                for values, of, n in ((in_a, of_a, len(n_a)), (in_b, of_b, len(n_b))):
+                    at = np.searchsorted(part, values)
+                    at[at == len(part)] = 0
+                    there = part[at] == values
+                    m = np.zeros((n, len(part)), np.float32)
+                    m[of[there], at[there]] = 1
                     hit.append(m)
-                shared += hit[0] @ hit[1].T
-            small, large = np.minimum.outer(n_a, n_b), np.maximum.outer(n_a, n_b)
-            need = np.where(large > SKETCH, SHARED * np.minimum(small, SKETCH) // SKETCH, 1)
-            ok = (c_a[:, None] != c_b[None, :]) & (shared >= need) & (DEN * small >= NUM * large)
-            i, j = np.nonzero(ok)
-            a, b = ids_a[i], ids_b[j]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_a, out_b)], names=["a", "b"])
+                both += hit[0] @ hit[1].T
+            linked = (c_a[:, None] != c_b[None, :]) & (both > 0) & (DEN * both >= NUM * (n_a[:, None] + n_b[None, :] - both))
+            parent: dict[int, int] = {}
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+                if _unite(parent, int(c_a[i]), int(c_b[j])):
+                    out_a.append(ids_a[i])
+                    out_b.append(ids_b[j])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
+
+
+def _between_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the rows ``(g, id, n, comp)`` of each group, between different components.
+
+    Blocks hold at most ``BLOCK`` shingles (or one document).
+    """
+    order = Window.partitionBy("g").orderBy("comp", "n", "id").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = (
+        groups.withColumn("blk", F.floor((F.sum("n").over(order) - 1) / BLOCK))
+        .join(sets, "id")
+        .groupBy("g", "blk")
+        .agg(F.collect_list(F.struct("id", "comp", "full")).alias("m"), *(f("comp").alias(k) for k, f in (("c0", F.min), ("c1", F.max))), *(f("n").alias(k) for k, f in (("n0", F.min), ("n1", F.max))))
+    )
+    x, y = (blocks.select("g", *(F.col(c).alias(f"{s}_{c}") for c in ("blk", "c0", "c1", "n0", "n1")), F.col("m").alias(s)) for s in "xy")
+    sizes = f"{DEN} * x_n1 >= {NUM} * y_n0 and {DEN} * y_n1 >= {NUM} * x_n0"
+    settled = "x_c0 = x_c1 and y_c0 = y_c1 and x_c0 = y_c0"
+    return x.join(y, "g").filter(f"x_blk <= y_blk and {sizes} and not ({settled})").select("x", "y").mapInArrow(_block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +218,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     candidates = lists.select("id").distinct()
     sets = cut(docs.select(F.col("doc_id").alias("id"), "text").join(candidates, "id", "left_semi").mapInArrow(_full_sets, "id long, full binary"))
-    sketches = named.select(F.col("doc_id").alias("id"), "sketch").join(candidates, "id", "left_semi").dropDuplicates(["id"])
 
     def grouped(comps: DataFrame | None) -> DataFrame:
         """The lists with each document's component, without those that lie in one."""
@@ -202,26 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         found = cut(_confirmed(pairs, sets))
         links = found if links is None else links.union(found)
-        comps = cut(connected_components(links))
-
-    blocks = (
-        grouped(comps)
-        .withColumn("blk", F.floor((F.row_number().over(Window.partitionBy("v").orderBy("n", "id")) - 1) / BLOCK))
-        .join(sketches, "id")
-        .groupBy("v", "blk")
-        .agg(F.collect_list(F.struct("id", "n", "comp", "sketch")).alias("members"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    )
-    x, y = (blocks.select("v", *(F.col(c).alias(f"{s}_{c}") for c in ("blk", "members", "n0", "n1"))) for s in "xy")
-    rest = (
-        x.join(y, "v")
-        .filter(f"x_blk <= y_blk and {DEN} * x_n1 >= {NUM} * y_n0")
-        .select("x_members", "y_members")
-        .mapInArrow(_block_pairs, "a long, b long")
-        .distinct()
-    )
-    found = cut(_confirmed(rest, sets))
-    if found.take(1):
-        comps = connected_components(links.union(found))
+        comps = cut(quick_labels(links))
+
+    # Lists with the same first document are compared as one group, so that a document meets the others of
+    # a family of near copies a few times and not once for each value they share.
+    unsettled = grouped(comps)
+    first = unsettled.groupBy("v").agg(F.min("id").alias("g"))
+    groups = cut(unsettled.join(first, "v").select("g", "id", "n", "comp").distinct())
+    comps = connected_components(links.union(_between_blocks(groups, sets)))
 
     component = F.least(F.coalesce("component", "rep"), F.col("rep"))
     return member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
