@@ -34,6 +34,8 @@ from quernstone.llm.cluster import documents, partitions
 LENGTH = 50
 GRAM = 20
 SHALLOW = 32
+#: Shards per shuffle partition; a task sorts one at a time.
+SHARDS = 4
 NO_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -142,7 +144,7 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shall
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     char = _words_at(buf)
-    order = np.argsort(char[starts], kind="stable")
+    order = np.argsort(char[starts])
     key = char[starts[order]]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
@@ -240,7 +242,7 @@ def _shared_hashes(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "hashes": pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
 
-RUNS = "shard int, bucket int, size binary, data binary, n_places binary, doc binary, row binary, pos binary"
+RUNS = "shard int, bucket int, gram binary, size binary, data binary, n_places binary, doc binary, row binary, pos binary"
 
 
 def _send_runs(shards: int):
@@ -287,7 +289,7 @@ def _send_runs(shards: int):
             if a == b:
                 continue
             l, o = lead[a:b], order[ends[a] : ends[b]]
-            row_out = (s, bucket, size[l].astype(np.uint8), data[tk.ragged(begin[l], size[l])], places[a:b].astype(np.int32), ids[row[o]], row[o].astype(np.int32), pos[o].astype(np.int32))
+            row_out = (s, bucket, (h[l] >> _U(32)).astype(np.uint32), size[l].astype(np.uint8), data[tk.ragged(begin[l], size[l])], places[a:b].astype(np.int32), ids[row[o]], row[o].astype(np.int32), pos[o].astype(np.int32))
             for name, v in zip(out, row_out):
                 out[name].append(v.tobytes() if isinstance(v, np.ndarray) else v)
         return pa.table({name: pa.array(v, empty.schema.field(name).type) for name, v in out.items()})
@@ -295,31 +297,63 @@ def _send_runs(shards: int):
     return run
 
 
+def _equal_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run the first run of the same bytes."""
+    h = tk.span_hash(tk.prefix_hash(data), begin, begin + size)
+    by = np.lexsort((np.arange(len(h)), h))
+    head = np.append(True, h[by][1:] != h[by][:-1]) if len(by) else np.zeros(0, bool)
+    first = np.empty(len(h), np.int64)
+    first[by] = by[np.flatnonzero(head)][np.cumsum(head) - 1]
+    wrong = size != size[first]
+    other = np.flatnonzero((first != np.arange(len(h))) & ~wrong)
+    for lo in range(0, len(other), 1 << 15):  # a hash says that they are equal; the bytes must say so too
+        k = other[lo : lo + (1 << 15)]
+        differ = data[tk.ragged(begin[k], size[k])] != data[tk.ragged(begin[first[k]], size[k])]
+        wrong[k] = np.add.reduceat(differ, np.cumsum(size[k]) - size[k]) > 0
+    first[wrong] = np.flatnonzero(wrong)
+    return first
+
+
 def _mark(table: pa.Table) -> pa.Table:
-    """Shard to buckets: sorted windows tell which bytes of which rows go."""
+    """Shard to buckets: sorted windows tell which bytes of which rows go.
+
+    Runs of the same bytes are one.  A run that alone has its minimizer shares
+    no window with other runs; the windows of the others are sorted.
+    """
     size = bk.joined(table.column("size"), np.uint8)[0].astype(np.int64)
+    gram, _ = bk.joined(table.column("gram"), np.uint32)
     data, _ = bk.joined(table.column("data"), np.uint8)
-    n_places, runs_of = bk.joined(table.column("n_places"), np.int32)
+    n_places, _ = bk.joined(table.column("n_places"), np.int32)
     doc, places_of = bk.joined(table.column("doc"), np.int64)
     row, pos = (bk.joined(table.column(c), np.int32)[0] for c in ("row", "pos"))
-    begin, n_win = np.cumsum(size) - size, size - LENGTH + 1
-    least_place = np.minimum.reduceat(doc, np.cumsum(n_places) - n_places) if len(doc) else doc
+    begin = np.cumsum(size) - size
+    first = _equal_runs(data, begin, size)
+    least_run = np.full(len(size), NO_ID)
+    if len(doc):
+        np.minimum.at(least_run, first, np.minimum.reduceat(doc, np.cumsum(n_places) - n_places))
+    lead = np.flatnonzero(first == np.arange(len(size)))
+    _, inverse, count = np.unique(gram[lead], return_inverse=True, return_counts=True)
+    mixed = lead[count[inverse] > 1]
+    n_win = np.zeros(len(size), np.int64)
+    n_win[mixed] = size[mixed] - LENGTH + 1
+    first_win = np.cumsum(n_win) - n_win
     starts = tk.ragged(begin, n_win)
-    order, cls = deep_shallow(data, starts)
-    run_of = np.repeat(np.arange(len(size)), n_win)
-    edge = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else cls
     least = np.empty(len(starts), np.int64)
+    order, cls = deep_shallow(data, starts)
     if len(cls):
-        least[order] = np.minimum.reduceat(least_place[run_of[order]], edge)[cls]
-    first_win = np.cumsum(n_win) - n_win
-    # every place of every run: a window goes where a smaller document has it
-    run_at = np.repeat(np.arange(len(size)), n_places)
-    out = {"bucket": [], "row": [], "s": [], "e": []}
-    worst = np.minimum.reduceat(least, first_win) if len(least) else least
-    some = np.flatnonzero(worst[run_at] < doc) if len(doc) else np.zeros(0, np.int64)
+        run_of = np.repeat(least_run, n_win)
+        least[order] = np.minimum.reduceat(run_of[order], np.flatnonzero(np.append(True, cls[1:] != cls[:-1])))[cls]
+    worst = least_run.copy()
+    if len(mixed):
+        worst[mixed] = np.minimum.reduceat(least, first_win[mixed])
+    run_at = first[np.repeat(np.arange(len(size)), n_places)]
     bucket_at = np.repeat(table.column("bucket").to_numpy(), places_of)
-    for lo in range(0, len(some), 1 << 16):
-        p = some[lo : lo + (1 << 16)]
+    some = worst[run_at] < doc
+    whole = np.flatnonzero(some & (n_win[run_at] == 0))
+    out = {"bucket": [bucket_at[whole]], "row": [row[whole]], "s": [pos[whole]], "e": [pos[whole] + size[run_at[whole]]]}
+    some = np.flatnonzero(some & (n_win[run_at] > 0))
+    for lo in range(0, len(some), 1 << 15):
+        p = some[lo : lo + (1 << 15)]
         r = run_at[p]
         win = tk.ragged(first_win[r], n_win[r])
         who = np.repeat(np.arange(len(p)), n_win[r])
@@ -328,12 +362,12 @@ def _mark(table: pa.Table) -> pa.Table:
         who, off = who[goes], off[goes]
         new = np.ones(len(who), bool)
         new[1:] = (who[1:] != who[:-1]) | (off[1:] != off[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(who)) - 1
-        k = p[who[first]]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(who)) - 1
+        k = p[who[at]]
         out["bucket"].append(bucket_at[k])
         out["row"].append(row[k])
-        out["s"].append(pos[k] + off[first])
+        out["s"].append(pos[k] + off[at])
         out["e"].append(pos[k] + off[last] + LENGTH)
     b, r, s, e = (np.concatenate([np.zeros(0, np.int32), *out[c]]).astype(np.int32) for c in ("bucket", "row", "s", "e"))
     by = np.argsort(b, kind="stable")
@@ -381,7 +415,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row with a null id has no smaller or larger neighbours and stays whole.
     Rows with one id do not remove each other.  Other columns are not looked at.
     """
-    shards = partitions(docs.sparkSession)
+    shards = SHARDS * partitions(docs.sparkSession)
     dealt = bk.bucketed(docs, id_col, text_col)
     hashes = dealt.groupBy("bucket").applyInArrow(_send_hashes(shards), "shard int, bucket int, multi int, hashes binary")
     shared = hashes.filter(F.length("hashes") > 0).groupBy("shard").applyInArrow(_shared_hashes, "bucket int, shard int, hashes binary")
