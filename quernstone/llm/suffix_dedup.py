@@ -34,8 +34,8 @@ from quernstone.llm.cluster import documents, partitions
 LENGTH = 50
 GRAM = 20
 SHALLOW = 32
-#: Shards per shuffle partition; a task sorts one at a time.
-SHARDS = 4
+#: Shards of runs per shuffle partition; a task sorts one at a time.
+SHARDS = 2
 NO_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -415,11 +415,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row with a null id has no smaller or larger neighbours and stays whole.
     Rows with one id do not remove each other.  Other columns are not looked at.
     """
-    shards = SHARDS * partitions(docs.sparkSession)
-    dealt = bk.bucketed(docs, id_col, text_col)
-    hashes = dealt.groupBy("bucket").applyInArrow(_send_hashes(shards), "shard int, bucket int, multi int, hashes binary")
+    few = partitions(docs.sparkSession)
+    dealt = bk.bucketed(docs, id_col, text_col, spread=1)
+    hashes = dealt.groupBy("bucket").applyInArrow(_send_hashes(few), "shard int, bucket int, multi int, hashes binary")
     shared = hashes.filter(F.length("hashes") > 0).groupBy("shard").applyInArrow(_shared_hashes, "bucket int, shard int, hashes binary")
-    runs = dealt.groupBy("bucket").cogroup(shared.filter(F.length("hashes") > 0).groupBy("bucket")).applyInArrow(_send_runs(shards), RUNS)
+    runs = dealt.groupBy("bucket").cogroup(shared.filter(F.length("hashes") > 0).groupBy("bucket")).applyInArrow(_send_runs(SHARDS * few), RUNS)
     marks = runs.groupBy("shard").applyInArrow(_mark, "bucket int, row binary, s binary, e binary")
     return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(with_text), RESULT)
 
