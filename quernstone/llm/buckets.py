@@ -25,10 +25,10 @@ from quernstone.llm.cluster import id_text, partitions
 SPREAD = 3
 
 
-def bucketed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bucketed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
     """``bucket, doc_id, text``: the bucket is a function of the id alone."""
     docs = id_text(docs, id_col, text_col)
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD * partitions(docs.sparkSession))).cast("int").alias("bucket"), "doc_id", "text")
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(spread * partitions(docs.sparkSession))).cast("int").alias("bucket"), "doc_id", "text")
 
 
 def canonical(table: pa.Table) -> pa.Table:

@@ -34,9 +34,11 @@ VOCAB = 1024
 CLASSES = 32
 HIDDEN = 16
 STEPS = 16
-LANES = 256
+LANES, FEW_LANES = 512, 32
+#: Words whose probabilities are computed together.
+SCORE_ROWS = 8192
 ROUNDS = 3
-RATE = 0.01
+RATE = 0.015
 FAN_IN = 16
 END = np.uint64(0xE5D0A7C3B1F49682)
 FOLDS, HELD_OUT = 5, 1
@@ -81,10 +83,6 @@ class Model:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == hashes, self.sorted[at], self.n - 1).astype(np.int32)
 
-    @property
-    def end(self) -> int:
-        return int(self.symbols(np.array([END], np.uint64))[0])
-
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.multiply(x, _f(0.5), out=x)
@@ -202,20 +200,24 @@ class Adam:
 
 def run(model: Model, flat: np.ndarray, tokens: np.ndarray, ptr: np.ndarray, adam: Adam | None = None, lanes: int = LANES) -> np.ndarray:
     """Log-probabilities of all ``tokens``; with ``adam``, learns from each window on the way (``flat`` changes)."""
-    end, w = model.end, model.views(flat)
-    lengths = np.diff(ptr)
-    dealt = lanes_of(lengths, lanes)
+    w, lengths = model.views(flat), np.diff(ptr)
     out = np.zeros(len(tokens), _f)
-    if not dealt:
+    if not len(tokens):
         return out
-    places = [np.concatenate([np.arange(ptr[d], ptr[d + 1]) for d in own]) for own in dealt]
-    size = np.array([len(p) for p in places])
-    at = np.zeros((int(size[0]), len(places)), np.int64)
     last = np.zeros(len(tokens), bool)
     last[ptr[1:][lengths > 0] - 1] = True
+    if adam is not None:  # lanes of equal length; the few documents that they cut begin anew
+        lanes = max(1, min(lanes, len(tokens) // STEPS))
+        places = np.array_split(np.arange(len(tokens)), lanes)
+    else:  # whole documents; no more lanes than the longest one leaves work for
+        lanes = max(FEW_LANES, min(lanes, len(tokens) // int(lengths.max())))
+        places = [np.concatenate([np.arange(ptr[d], ptr[d + 1]) for d in own]) for own in lanes_of(lengths, lanes)]
+    size = np.array([len(p) for p in places])
+    at = np.zeros((int(size[0]), len(places)), np.int64)
     for k, p in enumerate(places):
         at[: len(p), k] = p
     h = np.zeros((len(places), model.h), _f)
+    waiting: list[tuple] = []  # states and places whose words are not scored yet
     for t in range(0, int(size[0]), STEPS):
         n = int(np.searchsorted(-size, -t, "left"))  # lanes with words left
         place = at[t : t + STEPS, :n]
@@ -224,20 +226,24 @@ def run(model: Model, flat: np.ndarray, tokens: np.ndarray, ptr: np.ndarray, ada
         live = (~last[place] & there).astype(_f)
         states, h, saved = forward(w, x, h[:n], live, adam is not None)
         used = there.ravel()
-        grads = None
-        if adam is not None:
-            g = np.zeros_like(flat)
-            grads = model.views(g)
         flat_states = states.reshape(-1, model.h)
+        if adam is None:
+            waiting.append((flat_states[used], place.ravel()[used]))
+            if sum(len(p) for _, p in waiting) >= SCORE_ROWS or t + STEPS >= size[0]:
+                scored, where = (np.concatenate(c) for c in zip(*waiting))
+                out[where] = log_probs(model, w, scored, tokens[where])[0]
+                waiting = []
+            continue
+        g = np.zeros_like(flat)
+        grads = model.views(g)
         lp, back = log_probs(model, w, flat_states[used], x.ravel()[used], grads)
         out[place.ravel()[used]] = lp
-        if adam is not None:
-            db = np.zeros_like(flat_states)
-            db[used] = back
-            backward(w, x, states, saved, live, db.reshape(states.shape), grads)
-            g /= max(1, int(used.sum()))
-            g *= _f(min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-9)))
-            adam.step(flat, g, RATE)
+        db = np.zeros_like(flat_states)
+        db[used] = back
+        backward(w, x, states, saved, live, db.reshape(states.shape), grads)
+        g /= max(1, int(used.sum()))
+        g *= _f(min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-9)))
+        adam.step(flat, g, RATE)
     return out
 
 
@@ -362,7 +368,7 @@ def _score(shared, n_all: int, v_all: int, n_other: int, v_other: int):
         tokens, ptr = _tokens(docs.column("text"), lambda x: x)
         count = counts[np.searchsorted(words, tokens)] if len(tokens) else np.zeros(0, np.int64)
         symbols = model.symbols(tokens)
-        lp = run(model, flat.copy(), symbols, ptr, lanes=2 * LANES).astype(np.float64) / math.log(10)
+        lp = run(model, flat.copy(), symbols, ptr, lanes=LANES).astype(np.float64) / math.log(10)
         other = symbols == model.n - 1
         lp[other] += np.log10((count[other] + 0.5) / (n_other + 0.5 * (v_other + 1)))
         base = np.log10((count + 0.5) / (n_all + 0.5 * (v_all + 1)))
@@ -384,7 +390,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    dealt = bk.bucketed(docs).withColumn("held_out", fold == HELD_OUT)
+    dealt = bk.bucketed(docs, spread=1).withColumn("held_out", fold == HELD_OUT)
     counts = dealt.groupBy("bucket").applyInArrow(_send_counts(partitions(spark)), "shard int, bucket int, words binary, counts binary")
     answers = cut(counts.groupBy("shard").applyInArrow(_total_counts, ANSWER))
     tops = in_tree(answers.filter("bucket = -1").mapInArrow(_merge_tops, ANSWER), _merge_tops, ANSWER)
