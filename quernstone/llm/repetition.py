@@ -22,8 +22,8 @@ from quernstone.llm.cluster import documents, id_text
 WINDOW = 5
 MIN_WORDS = 10
 BASE_PERCENT = 20
-#: Shares of a text's word characters under maximal repeats of MIN_WORDS words and more.
-MAX_COVERED = 0.15
+#: Share of a text's word characters under maximal repeats of MIN_WORDS words and more; above what the base rule allows, so that one repeated sentence rejects nothing.
+MAX_COVERED = 0.25
 #: Words of the longest repeat.
 MAX_LONGEST = 100
 
