@@ -33,7 +33,7 @@ STEPS = 60
 TOLERANCE = 1e-4
 #: Share of the corpus' tokens that the mix has, and the domains' shares of the mix (in proportion, over the domains there are).
 BUDGET = 0.8
-SHARES = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.01, "q0t1": 0.01}
+SHARES = {"q1t0": 0.917, "q0t0": 0.075, "q1t1": 0.004, "q0t1": 0.004}
 
 
 def _cues(column):
