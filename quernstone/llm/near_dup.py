@@ -172,14 +172,30 @@ def _block_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
 
+def _with_sums(rows: DataFrame, keys: list[str], **sums) -> DataFrame:
+    """``rows`` with aggregates over ``keys``, joined on a hash besides.
+
+    The hash makes Spark shuffle both sides of the join anew instead of keeping
+    the aggregate's partitioning, and such joins it can split where a key is
+    hot; a window or the bare join would bring the key's rows to one task.
+    """
+    of = F.xxhash64(*keys)
+    found = rows.groupBy(*keys).agg(*(a.alias(c) for c, a in sums.items())).withColumn("__k", of)
+    return rows.withColumn("__k", of).join(found, ["__k", *keys]).drop("__k")
+
+
 def _between_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among the rows ``(g, id, n, comp)`` of each group, between different components.
 
-    Blocks hold at most ``BLOCK`` shingles (or one document).
+    Blocks hold ``BLOCK`` shingles or so (or one document): large components
+    have blocks of their own, small ones are dealt together.
     """
-    order = Window.partitionBy("g").orderBy("comp", "n", "id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = _with_sums(_with_sums(groups, ["g"], total=F.sum("n")), ["g", "comp"], own=F.sum("n"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    large = F.col("own") > BLOCK // 2
+    blk = F.when(F.col("total") <= BLOCK, F.lit(0).cast("long")).when(large, F.xxhash64("comp", F.pmod(F.xxhash64("id"), parts("own")))).otherwise(F.pmod(F.xxhash64("comp"), parts("total")))
     blocks = (
-        groups.withColumn("blk", F.floor((F.sum("n").over(order) - 1) / BLOCK))
+        sized.select("g", "id", "n", "comp", blk.alias("blk"))
         .join(sets, "id")
         .groupBy("g", "blk")
         .agg(F.collect_list(F.struct("id", "comp", "full")).alias("m"), *(f("comp").alias(k) for k, f in (("c0", F.min), ("c1", F.max))), *(f("n").alias(k) for k, f in (("n0", F.min), ("n1", F.max))))
@@ -202,8 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = id_text(docs, id_col, text_col)
     rows = cut(docs.mapInArrow(_sketches, "doc_id long, n long, fp_hi long, fp_lo long, sketch binary"))
     named = rows.filter("doc_id is not null and n > 0")
-    classes = named.groupBy("fp_hi", "fp_lo", "n").agg(F.min("doc_id").alias("rep"))
-    member = cut(rows.select("doc_id", "n", "fp_hi", "fp_lo").join(classes, ["fp_hi", "fp_lo", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+    digest = F.xxhash64("fp_hi", "fp_lo", "n")
+    # the added key has both sides shuffled anew, so that a large class can be split; see _with_sums
+    classes = named.groupBy("fp_hi", "fp_lo", "n").agg(F.min("doc_id").alias("rep")).withColumn("k", digest)
+    member = cut(rows.select("doc_id", "n", "fp_hi", "fp_lo", digest.alias("k")).join(classes, ["k", "fp_hi", "fp_lo", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
     reps = named.join(member.filter("n > 0 and doc_id = rep").select(F.col("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
 
     values = reps.mapInArrow(_values, "v long, id long, n long").repartition("v")
