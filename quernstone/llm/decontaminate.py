@@ -202,23 +202,24 @@ def _pass(phrases_blob, text_col: str = "text"):
     def run(batches):
         phrases = phrases_blob.value
         for batch in batches:
-            spans_before, items_before = (batch.column(c).to_pylist() for c in ("spans", "items"))
-            counts, spans, items = [], [], []
             for chunk in tk.chunks(batch.column(text_col)):
+                part = batch.slice(chunk.lo, chunk.n)
+                spans_before, items_before = (part.column(c).to_pylist() for c in ("spans", "items"))
                 ptr, s, e, d, i = scan(chunk, phrases)
                 s, e = split_at(s, e, ptr) if len(s) else (s, e)
                 own = np.searchsorted(s, ptr)
                 at = np.searchsorted(d, np.arange(chunk.n + 1))
-                counts += np.diff(ptr).tolist()
+                spans, items = [], []
                 for k in range(chunk.n):
-                    old_s, old_i = spans_before[chunk.lo + k], items_before[chunk.lo + k]
+                    old_s, old_i = spans_before[k], items_before[k]
                     a, b = s[own[k] : own[k + 1]] - ptr[k], e[own[k] : own[k + 1]] - ptr[k]
                     if old_s:
                         a, b = tk.merge_spans(np.append(a, old_s[0::2]), np.append(b, old_s[1::2]))
                     spans.append(np.stack([a, b], 1).ravel().tolist())
                     items.append(sorted({*i[at[k] : at[k + 1]].tolist(), *old_i}))
-            found = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _SPANS)}
-            yield pa.RecordBatch.from_arrays([found.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+                found = {"n_words": pa.array(np.diff(ptr), pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _SPANS)}
+                yield pa.RecordBatch.from_arrays([found.get(c, part.column(c)) for c in part.schema.names], names=part.schema.names)
+            tk.release()
 
     return run
 

@@ -48,16 +48,12 @@ def _stripped(chunk: tk.Chunk):
 def _sequences(batches):
     """Rows (doc_id, fp, lines, n_words): the hashes of a text's lines and their numbers of words."""
     for batch in batches:
-        lines, n_words = [], []
         for chunk in tk.chunks(batch.column("text")):
             ptr, n, h = _stripped(chunk)
-            for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
-                lines.append(h[a:b].view(np.int64))
-                n_words.append(n[a:b])
-        size = np.array([len(x) for x in lines], np.int64)
-        offs = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-        flat = lambda x: pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), flat(lines), flat(n_words)], names=["doc_id", "fp", "lines", "n_words"])
+            part, offs = batch.slice(chunk.lo, chunk.n), pa.array(ptr.astype(np.int32))
+            columns = [part.column("doc_id"), part.column("fp"), *(pa.ListArray.from_arrays(offs, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "lines", "n_words"])
+        tk.release()
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -144,14 +140,16 @@ def _delete(text_col: str):
 
     def run(batches):
         for batch in batches:
-            gone, n_lines, texts = batch.column("gone").to_pylist(), [], []
             for chunk in tk.chunks(batch.column(text_col)):
+                part = batch.slice(chunk.lo, chunk.n)
+                gone, n_lines, texts = part.column("gone").to_pylist(), [], []
                 for k in range(chunk.n):
-                    text, n = without_lines(chunk.text(k), gone[chunk.lo + k])
+                    text, n = without_lines(chunk.text(k), gone[k])
                     n_lines.append(n)
-                    texts.append(text.decode())
-            new = {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(g or ()) for g in gone], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+                    texts.append(text)
+                new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(g or ()) for g in gone], pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in part.schema.names], names=part.schema.names)
+            tk.release()
 
     return run
 

@@ -147,6 +147,7 @@ def _predict(shared):
                 p = _softmax(_logits(w, bias, chunk.n, *_present(vocabulary, doc, cue)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.lo, chunk.n), pa.array(n, pa.int64()), flat], names=["doc_id", "n_tokens", "posterior"])
+            tk.release()
 
     return run
 

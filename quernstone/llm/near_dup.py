@@ -72,6 +72,7 @@ def _sketches(batches):
             [ids, pa.array(ns, pa.int64()), pa.array(np.array(hi, np.uint64).view(np.int64)), pa.array(np.array(lo, np.uint64).view(np.int64)), tk.binaries(sketches)],
             names=["doc_id", "n", "fp_hi", "fp_lo", "sketch"],
         )
+        tk.release()
 
 
 def _values(batches):

@@ -167,8 +167,9 @@ def keep_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            kept = [measure(chunk)["kept"] for chunk in tk.chunks(batch.column(text_col))]
-            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
+            for chunk in tk.chunks(batch.column(text_col)):
+                yield batch.slice(chunk.lo, chunk.n).filter(pa.array(measure(chunk)["kept"]))
+            tk.release()
 
     return docs.mapInArrow(keep, docs.schema)
 

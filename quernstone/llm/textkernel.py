@@ -10,6 +10,7 @@ longest document and not by the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -224,3 +225,16 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     new[1:] = s[1:] > e[:-1]
     first = np.flatnonzero(new)
     return s[first], e[np.append(first[1:], len(s)) - 1]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory held for reuse back to the system: workers sit idle between stages beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
