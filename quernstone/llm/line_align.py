@@ -2,11 +2,12 @@
 
 A document's lines are known by the hash of their stripped bytes; blank lines
 have none.  The aggregate of a line is how many documents have it and the
-smallest id among them.  A document's *rare* lines are the shared ones that at
-most ``RARE`` documents have, or, if it has none such, its least frequent
-shared ones.  Its partners are the earliest documents of its rare lines: so
-many at most as it has lines, however large a group of copies is, and every
-rare line is aligned with its first occurrence.
+smallest id among them.  A document's partners are the earliest documents of
+its shared lines: so many at most as it has lines, however large a group of
+copies is, and every line is aligned with its first occurrence.  Setting
+``RARE`` bounds them, at the price of lines that stay: only the lines that at
+most so many documents have give partners, or, if a document has none such,
+its least frequent shared ones.
 
 Each pair of line sequences is aligned by patience diff: lines that both have
 once, in longest increasing order, are fixed points, runs of equal lines grow
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quernstone.llm import textkernel as tk
 from quernstone.llm.cluster import cut, documents, id_text, named_again, numbered
 
-RARE = 50
+RARE: int | None = None
 MIN_WORDS = 10
 
 
@@ -160,8 +161,10 @@ def _lines_gone(docs: DataFrame) -> DataFrame:
     lines = rows.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     shared = lines.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
     held = lines.join(shared, "line").filter("first < doc_id")
-    least = held.groupBy("doc_id").agg(F.min("df").alias("least"))
-    partners = held.join(least, "doc_id").filter((F.col("df") <= RARE) | ((F.col("least") > RARE) & (F.col("df") == F.col("least")))).select("doc_id", "first").distinct()
+    if RARE is not None:
+        least = held.groupBy("doc_id").agg(F.min("df").alias("least"))
+        held = held.join(least, "doc_id").filter((F.col("df") <= RARE) | ((F.col("least") > RARE) & (F.col("df") == F.col("least"))))
+    partners = held.select("doc_id", "first").distinct()
     earlier = rows.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
     pairs = partners.join(rows, "doc_id").join(earlier, "first").select("doc_id", "fp", "lines", "n_words", "earlier")
     gone = pairs.mapInArrow(_align, "doc_id long, fp long, gone array<int>").filter(F.size("gone") > 0)

@@ -61,3 +61,11 @@ def test_copies_go_and_null_ids_stay(spark):
     got = la.align_lines(frame(spark, [(None, text), (2, text), (3, text), (3, text), (4, None)])).collect()
     assert sorted((str(r.doc_id), r.n_removed, r.text) for r in got) == [("2", 0, text), ("3", 2, ""), ("3", 2, ""), ("4", 0, ""), ("None", 0, text)]
     assert la.align_lines(frame(spark, [])).collect() == []
+
+
+def test_a_line_of_many_documents_goes_beside_a_rarer_one(spark):
+    common, rare = (" ".join(f"{x}{k}" for k in range(12)) for x in "cr")
+    rows = [(k, f"{common}\nown words of {k}") for k in range(80)] + [(90, f"{rare}\nown"), (91, f"{common}\n\n{rare}\nlast of all")]
+    got = {r.doc_id: r.text for r in la.align_lines(frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"own words of {k}" for k in range(1, 80))
+    assert got[91] == "\nlast of all"
