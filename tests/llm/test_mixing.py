@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quernstone.llm import mixing as mx
 from tests.llm.helpers import awkward, frame
@@ -49,3 +50,23 @@ def test_awkward_rows(spark):
     assert len(got) == len(rows) and all(r.rate >= 0 for r in got)
     assert mx.mix(frame(spark, []), labels).collect() == []
     assert {r.domain for r in mx.mix(frame(spark, rows), labels.limit(0)).collect()} == {"all"}
+
+
+def test_small_targets_are_met_with_soft_posteriors(spark):
+    rng = np.random.default_rng(0)
+    prior = np.array([0.13, 0.02, 0.76, 0.09])
+    y = rng.choice(4, 3000, p=prior)
+    logits = np.log(prior) + rng.normal(size=(3000, 4)) + 2 * np.eye(4)[y]
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    n = rng.integers(1, 500, 3000)
+    scored = spark.createDataFrame([(k, int(a), b.tolist()) for k, (a, b) in enumerate(zip(n, p))], "doc_id long, n_tokens long, posterior array<double>")
+    want = 0.8 * n.sum() * np.array([0.075, 0.004, 0.917, 0.004])
+    duals, _ = mx.fit_rates(scored, lambda _: want)
+    assert (np.abs((n * mx.rates_of(p, duals)[0]) @ p - want) <= 0.001 * want).all()
+
+
+def test_targets_out_of_reach_are_warned_of(spark):
+    scored = spark.createDataFrame([(k, 10, [0.5, 0.5]) for k in range(9)], "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="out of reach"):
+        duals, _ = mx.fit_rates(scored, lambda n: np.array([40.0, 20.0]))
+    assert np.allclose(mx.rates_of(np.full((9, 2), 0.5), duals)[0], 2 / 3)
