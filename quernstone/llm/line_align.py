@@ -3,9 +3,10 @@
 A document's lines are known by the hash of their stripped bytes; blank lines
 have none.  The aggregate of a line is how many documents have it and the
 smallest id among them.  A document's partners are the earliest documents of
-its shared lines: so many at most as it has lines, however large a group of
-copies is, and every line is aligned with its first occurrence.  Setting
-``RARE`` bounds them, at the price of lines that stay: only the lines that at
+its shared lines, and of its shared runs of short lines (the shortest that reach
+``MIN_WORDS``, from each line on and up to each line): three at most for each
+of its lines, however large a group of copies is, and every line and run is
+aligned with its first occurrence.  Setting ``RARE`` leaves out runs and bounds them, at the price of lines that stay: only the lines that at
 most so many documents have give partners, or, if a document has none such,
 its least frequent shared ones.
 
@@ -46,14 +47,32 @@ def _stripped(chunk: tk.Chunk):
     return np.searchsorted(starts, chunk.offs), (hi - lo)[some], h
 
 
+def _runs(ptr: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets by document, hashes)`` of the shortest runs of two lines or more with ``MIN_WORDS`` words, from each line on and up to each line."""
+    doc, total, every = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), np.append(0, np.cumsum(n)), np.arange(len(n))
+    lo = np.concatenate([every, np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1])
+    hi = np.concatenate([np.searchsorted(total, total[:-1] + MIN_WORDS), every + 1])
+    doc = np.concatenate([doc, doc])
+    fits = (lo >= ptr[doc]) & (hi <= ptr[doc + 1]) & (hi - lo > 1)
+    order = np.argsort(doc[fits], kind="stable")
+    lo, hi, doc = lo[fits][order], hi[fits][order], doc[fits][order]
+    key = np.full(len(lo), 1, np.uint64)
+    for k in range(MIN_WORDS):  # a line has a word at least
+        on = lo + k < hi
+        key[on] = tk.mix(key[on] * np.uint64(0x9E3779B97F4A7C15) + h[lo[on] + k])
+    return np.searchsorted(doc, np.arange(len(ptr))), key
+
+
 def _sequences(batches):
-    """Rows (doc_id, fp, lines, n_words): the hashes of a text's lines and their numbers of words."""
+    """Rows (doc_id, fp, lines, n_words, runs): the hashes of a text's lines, their numbers of words, the hashes of runs of lines."""
     for batch in batches:
         for chunk in tk.chunks(batch.column("text")):
             ptr, n, h = _stripped(chunk)
             part, offs = batch.slice(chunk.lo, chunk.n), pa.array(ptr.astype(np.int32))
+            run_ptr, runs = _runs(ptr, n, h)
             columns = [part.column("doc_id"), part.column("fp"), *(pa.ListArray.from_arrays(offs, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "lines", "n_words"])
+            columns.append(pa.ListArray.from_arrays(pa.array(run_ptr.astype(np.int32)), pa.array(runs.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "lines", "n_words", "runs"])
         tk.release()
 
 
@@ -157,8 +176,9 @@ def _delete(text_col: str):
 
 def _lines_gone(docs: DataFrame) -> DataFrame:
     """``(id, fp, gone)`` of the texts of ``docs(doc_id, text, fp)`` that lose lines."""
-    rows = cut(docs.filter("doc_id is not null and text is not null").mapInArrow(_sequences, "doc_id long, fp long, lines array<bigint>, n_words array<bigint>").filter(F.size("lines") > 0))
-    lines = rows.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    rows = cut(docs.filter("doc_id is not null and text is not null").mapInArrow(_sequences, "doc_id long, fp long, lines array<bigint>, n_words array<bigint>, runs array<bigint>").filter(F.size("lines") > 0))
+    keys = F.concat("lines", "runs") if RARE is None else F.col("lines")
+    lines = rows.select("doc_id", F.explode(F.array_distinct(keys)).alias("line")).distinct()
     shared = lines.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
     held = lines.join(shared, "line").filter("first < doc_id")
     if RARE is not None:
@@ -166,7 +186,7 @@ def _lines_gone(docs: DataFrame) -> DataFrame:
         held = held.join(least, "doc_id").filter((F.col("df") <= RARE) | ((F.col("least") > RARE) & (F.col("df") == F.col("least"))))
     partners = held.select("doc_id", "first").distinct()
     earlier = rows.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
-    pairs = partners.join(rows, "doc_id").join(earlier, "first").select("doc_id", "fp", "lines", "n_words", "earlier")
+    pairs = partners.join(rows.drop("runs"), "doc_id").join(earlier, "first").select("doc_id", "fp", "lines", "n_words", "earlier")
     gone = pairs.mapInArrow(_align, "doc_id long, fp long, gone array<int>").filter(F.size("gone") > 0)
     return gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 

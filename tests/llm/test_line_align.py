@@ -69,3 +69,10 @@ def test_a_line_of_many_documents_goes_beside_a_rarer_one(spark):
     got = {r.doc_id: r.text for r in la.align_lines(frame(spark, rows)).collect()}
     assert got[0] == rows[0][1] and all(got[k] == f"own words of {k}" for k in range(1, 80))
     assert got[91] == "\nlast of all"
+
+
+def test_a_block_of_short_lines_meets_its_first_occurrence(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven"
+    rows = [(1, f"{a}\nx"), (2, f"{b}\ny"), (3, f"{c}\nz"), (4, f"p\n{a}\n{b}\n{c}\nq"), (5, f"r\n{a}\n\n{b}\n{c}\ns")]
+    got = {r.doc_id: r.text for r in la.align_lines(frame(spark, rows)).collect()}
+    assert got == dict(rows[:4]) | {5: "r\n\ns"}
