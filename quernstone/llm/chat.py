@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.cluster import documents
+from quernstone.workers import importable
 
 SEGMENTS = "conv_id long, seq long, text string, loss boolean, valid boolean"
 
@@ -99,6 +100,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None, mac
     ``conv_id`` is a conversation of its own.  ``valid`` says whether all
     turns so far follow the machine; nothing is dropped.
     """
+    importable(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(_format(template or Template(), machine or Machine()), SEGMENTS)

@@ -23,7 +23,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _join_anew(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_anew(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Joined on ``key`` and its hash: both sides are shuffled anew, and Spark can split a vertex with many edges."""
     return rows.withColumn("__k", F.xxhash64(key)).join(found.withColumn("__k", F.xxhash64(key)), ["__k", key], how).drop("__k")
 
@@ -31,14 +31,14 @@ def _join_anew(rows: DataFrame, found: DataFrame, key: str, how: str = "inner")
 def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = _both_ways(edges)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
-    linked = _join_anew(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    linked = join_anew(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return linked.coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
-    linked = _join_anew(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    linked = join_anew(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").coalesce(tasks).distinct().coalesce(tasks)
 
 
@@ -51,7 +51,7 @@ def quick_labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
     now = _both_ways(edges.filter("a <> b")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     for _ in range(jumps):
         up = now.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        now = _join_anew(now, up, "component", "left").select("id", F.least("component", "above").alias("component"))
+        now = join_anew(now, up, "component", "left").select("id", F.least("component", "above").alias("component"))
     return now
 
 

@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quernstone.llm import textkernel as tk
-from quernstone.llm.cluster import cut, documents, id_text
+from quernstone.llm.cluster import cut, documents, id_text, numbered
 from quernstone.llm.repetition import SYMBOLS
 
 FEATURES = 1 << 13
@@ -153,10 +154,8 @@ def _distinct(doc: np.ndarray, cue: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _predict(shared):
     def run(batches):
-        vocabulary, w, bias = shared.value
         for batch in batches:
-            for chunk, n, doc, cue in _cues(batch.column("text")):
-                p = _softmax(_logits(w, bias, chunk.n, *_present(vocabulary, doc, cue)))
+            for chunk, n, p in _posterior(batch.column("text"), shared.value):
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.lo, chunk.n), pa.array(n, pa.int64()), flat], names=["doc_id", "n_tokens", "posterior"])
             tk.release()
@@ -164,19 +163,35 @@ def _predict(shared):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame]:
-    """Domain names and ``(doc_id, n_tokens, posterior)`` of every row of ``docs``."""
-    spark = docs.sparkSession
+def _posterior(column, model):
+    vocabulary, w, bias = model
+    for chunk, n, doc, cue in _cues(column):
+        yield chunk, n, _softmax(_logits(w, bias, chunk.n, *_present(vocabulary, doc, cue)))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], tuple]:
+    """Domain names and the classifier's vocabulary, weights and biases."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit("q"), F.col("quality").cast("int"), F.lit("t"), F.col("toxic").cast("int")).alias("name")).filter("doc_id is not null and name is not null").groupBy("doc_id").agg(F.min("name").alias("name"))
-    names = sorted(r.name for r in known.select("name").distinct().limit(64).collect()) or ["all"]
+    names = sorted(r.name for r in known.select("name").distinct().collect()) or ["all"]  # the label table's kinds
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", F.array_position(F.lit(names), F.col("name")).alias("domain"))
-    # at most MAX_LABELLED pairs of numbers
+    # at most MAX_LABELLED pairs of numbers; and where ids repeat, at most so many rows
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", (F.col("domain") - 1).cast("int").alias("domain"))
-    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"), "domain").mapInArrow(_fit(len(names)), "v binary, w binary, b binary").collect()
+    rows = rows.orderBy(F.xxhash64("text"), "domain").limit(MAX_LABELLED)
+    fitted = rows.coalesce(1).mapInArrow(_fit(len(names)), "v binary, w binary, b binary").collect()
     model = (np.zeros(0, np.uint64), np.zeros((0, len(names))), np.zeros(len(names)))
     if fitted:  # an empty sample may have no task
         model = (np.frombuffer(fitted[0].v, np.uint64), np.frombuffer(fitted[0].w, np.float64).reshape(-1, len(names)), np.frombuffer(fitted[0].b, np.float64))
-    return names, docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, n_tokens long, posterior array<double>")
+    return names, model
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame]:
+    """Domain names and ``(doc_id, n_tokens, posterior)`` of every row of ``docs``."""
+    names, model = train(docs, labels)
+    return names, _scored(docs, model)
+
+
+def _scored(docs: DataFrame, model) -> DataFrame:
+    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, n_tokens long, posterior array<double>")
 
 
 def rates_of(p: np.ndarray, duals: list[tuple[float, np.ndarray]], start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +288,16 @@ def fit_rates(scored: DataFrame, targets) -> tuple[list[tuple[float, np.ndarray]
     return duals, seen
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None, budget: float):
+    """``(names, model, posteriors of all rows, steps)``."""
+    names, model = train(docs, labels)
+    shares = shares or SHARES
+    share = np.array([shares.get(k, 1.0 if names == ["all"] else 0.0) for k in names])
+    share = share / share.sum() if share.sum() else share
+    scored = cut(_scored(docs, model))
+    return names, model, scored, fit_rates(scored, lambda n: budget * n.sum() * share)[0]
+
+
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, domain, posterior, rate``.
 
@@ -285,16 +310,42 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
     are of one domain.  Repeated rows count each; an empty table gives no rows.
     """
     docs = id_text(docs, id_col, text_col)
-    names, scored = classify(docs, labels)
-    shares = shares or SHARES
-    share = np.array([shares.get(k, 1.0 if names == ["all"] else 0.0) for k in names])
-    share = share / share.sum() if share.sum() else share
-    scored = cut(scored)
-    duals, _ = fit_rates(scored, lambda n: budget * n.sum() * share)
+    names, _, scored, duals = _fitted(docs, labels, shares, budget)
     rated = scored.mapInArrow(_assign(duals), "doc_id long, n_tokens long, posterior array<double>, rate double")
     best = F.element_at(F.lit(names), F.array_position("posterior", F.array_max("posterior")).cast("int"))
     return rated.select("doc_id", "n_tokens", best.alias("domain"), "posterior", "rate")
 
 
+RESULT = {"n_tokens": pa.int64(), "domain": pa.string(), "posterior": pa.list_(pa.float64()), "rate": pa.float64()}
+
+
+def _rate_rows(shared, names: list[str], duals, text_col: str):
+    def run(batches):
+        for batch in batches:
+            for chunk, n, p in _posterior(batch.column(text_col), shared.value):
+                found = (n, [names[k] for k in p.argmax(1).tolist()], p.tolist(), rates_of(p, duals)[0])
+                part = batch.slice(chunk.lo, chunk.n)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, t in zip(found, RESULT.values()))], names=[*part.schema.names, *RESULT])
+            tk.release()
+
+    return run
+
+
+def mix_rows(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and those of :func:`mix`; a column of the same name gives way.
+
+    The texts aren't shuffled: once the steps are known, a row's rate follows
+    from its own text, in one more pass.  Nulls, empty tables and repeated rows
+    are as in :func:`mix`.
+    """
+    names, model, _, duals = _fitted(id_text(docs, id_col, text_col), labels, shares, budget)
+    rows, own = numbered(docs)
+    rows = rows.withColumn(own[text_col], F.col(own[text_col]).cast("string"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("n_tokens long, domain string, posterior array<double>, rate double").fields])
+    rated = rows.mapInArrow(_rate_rows(shared, names, duals, own[text_col]), schema)
+    return rated.select(*(F.col(n).alias(c) for c, n in own.items() if c not in RESULT), *RESULT)
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))

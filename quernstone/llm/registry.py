@@ -19,6 +19,7 @@ QUERIES = {
     "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 ORACLE_SQL = {
+    "op6_line_alignment": line_align.OP6_SQL,
     "op8_fm_index": decontaminate.OP8_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_near_duplicates": near_dup.OP10_SQL,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from quernstone.llm import textkernel as tk
 from quernstone.llm.cluster import documents, id_text
+from quernstone.workers import importable
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -163,7 +164,13 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the rules keep.  No shuffle."""
+    """The rows of ``docs``, with all their columns, that the rules keep.  No shuffle.
+
+    Null and empty texts fail the base rule and go.  Repeated rows are judged
+    each for itself; an empty table stays empty; ids and other columns are not
+    looked at.
+    """
+    importable(docs.sparkSession)
 
     def keep(batches):
         for batch in batches:

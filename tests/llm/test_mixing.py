@@ -70,3 +70,18 @@ def test_targets_out_of_reach_are_warned_of(spark):
     with pytest.warns(UserWarning, match="out of reach"):
         duals, _ = mx.fit_rates(scored, lambda n: np.array([40.0, 20.0]))
     assert np.allclose(mx.rates_of(np.full((9, 2), 0.5), duals)[0], 2 / 3)
+
+
+def test_any_number_of_domains_and_repeated_ids(spark):
+    labels = spark.createDataFrame([(k, k, 0) for k in range(70)], "doc_id long, quality int, toxic int")
+    rows = [(k % 70, f"text number {k} of kind {k % 70}") for k in range(300)]
+    got = mx.mix(frame(spark, rows), labels, shares={f"q{k}t0": 1.0 for k in range(70)}).collect()
+    assert len(got) == 300 and {len(r.posterior) for r in got} == {70}
+
+
+def test_rows_keep_their_columns(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plain = {r.doc_id: r for r in mx.mix(docs, labels).collect()}
+    rows = mx.mix_rows(docs.withColumnRenamed("lang", "rate"), labels).collect()
+    assert len(rows) == len(plain) and all(r.text is not None and r.domain == plain[r.doc_id].domain for r in rows)
+    assert np.allclose([r.rate for r in rows], [plain[r.doc_id].rate for r in rows])

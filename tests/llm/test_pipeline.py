@@ -1,3 +1,5 @@
+import os
+
 import corpus_pipeline as cp
 from quernstone.llm import repetition
 from quernstone.llm.decontaminate import find_contamination
@@ -21,7 +23,7 @@ def test_stages_one_after_the_other(spark, sf, tmp_path):
             kept = {r.doc_id for r in repetition.repetition_rules(docs).filter("kept").collect()}
             assert set(rows) == kept and len(kept) < len(before)
         elif name == "line_dedup":
-            left = {i: t for i, _, _, t in brute_lines([(i, r.text) for i, r in before.items()], 50)}
+            left = {i: t for i, _, _, t in brute_lines([(i, r.text) for i, r in before.items()])}
             assert {i: r.text for i, r in rows.items()} == {i: t for i, t in left.items() if t.encode().split()}
             assert all(r.n_chars == len(r.text) for r in rows.values())
         elif name == "near_dedup":
@@ -31,15 +33,30 @@ def test_stages_one_after_the_other(spark, sf, tmp_path):
             assert set(rows) == set(before) - {r.doc_id for r in bad.collect()}
         else:
             assert set(rows) == set(before) and all(r.rate >= 0 for r in rows.values())
+            assert all(r.text == before[i].text for i, r in rows.items())
         docs = after
 
 
 def test_run_is_the_stages(spark, sf):
     got = cp.run(spark, sf)
-    assert got.columns == ["doc_id", "n_tokens", "domain", "posterior", "rate"] and got.count() > 50
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_tokens", "domain", "posterior", "rate"] and got.count() > 50
+    folder = got.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert os.listdir(folder) == ["4-mixture"]
+
 
+PLAIN = "a b c d e f g h i j k l m"
 
-def test_rows_without_an_id_pass(spark):
-    docs = spark.createDataFrame([(None, "a b c d e f g h i j k l m", "x"), (1, "a b c d e f g h i j k l m", "y"), (2, "a b c d e f g h i j k l m", "z")], "doc_id long, text string, kept_id string")
-    assert sorted(str(r.doc_id) for r in cp.near_dedup(spark, docs, "").collect()) == ["1", "None"]
-    assert sorted((str(r.doc_id), r.text) for r in cp.quality_rules(spark, docs, "").collect()) == [(i, "a b c d e f g h i j k l m") for i in ("1", "2", "None")]
+
+def test_awkward_rows_in_every_stage(spark, sf):
+    schema = "doc_id long, text string, kept_id string, lines string, rate string, n_chars long"
+    rows = [(None, PLAIN, "x", "l", "r", 1), (1, PLAIN, "y", "l", "r", 1), (2, PLAIN, "z", None, None, None), (2, PLAIN, "z", None, None, None), (3, None, "n", "l", "r", 0), (4, "", "e", "l", "r", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    ids = lambda name: sorted(str(r.doc_id) for r in dict(cp.STAGES)[name](spark, docs, sf).collect())
+    assert ids("quality_rules") == ["1", "2", "2", "None"]
+    assert ids("line_dedup") == ["1", "None"]
+    assert ids("near_dedup") == ["1", "3", "4", "None"]
+    assert ids("decontamination") == ids("mixture") == ["1", "2", "2", "3", "4", "None"]
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == []
+        got = stage(spark, docs, sf)
+        assert set(docs.columns) <= set(got.columns)
