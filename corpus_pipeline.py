@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, lines, near copies, benchmark passages, mixture.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame with the
-columns of ``documents`` (the last adds ``rate`` and the domain); the caller
+columns of ``documents`` (the last adds ``n_tokens, domain, posterior, rate``); the caller
 writes it as Parquet and hands it, read again, to the next stage.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontaminate, line_align, mixing, near_dup, repetition
-from quernstone.llm.cluster import checkpoint_dir, documents
+from quernstone.llm.cluster import checkpoint_dir, delete_folder, documents
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's rate in the mix whose expected domain totals match the targets."""
-    return mixing.mix(docs, documents(spark, sf_dir, "labels"))
+    """All documents with their rates in the mix whose expected domain totals match the targets."""
+    return mixing.mix_rows(docs, documents(spark, sf_dir, "labels"))
 
 
 STAGES = [
@@ -62,11 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's folder is deleted when the next one is written; the last, which
+    holds the result, stays.  Rows with a null id pass the stages that look for
+    earlier or smaller ids, and a null or empty text ends at the quality rules.
+    """
     docs = documents(spark, sf_dir)
     top = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{top}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete_folder(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
