@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quernstone.llm import near_dup as nd
@@ -65,6 +66,34 @@ def test_null_ids_repeats_and_empty(spark):
     assert nd.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_repeated_ids_are_one_vertex(spark):
+    t1, t2 = ("a b c d e f g h", "p q r s t u v w")
+    rows = [(5, t1), (5, t2), (3, t1), (4, t2), (9, t2), (5, None), (7, "x y z a b c"), (7, "k l m n o p"), (8, "K l m n o p")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(3, 3, True), (4, 3, False), (5, 3, False), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 3, False)]
+
+
+def test_whole_sets_retained(spark):
+    rows = family(8, 40)
+    assert sorted(map(tuple, nd.near_duplicates(frame(spark, rows), sketch=None).collect())) == brute(rows)
+
+
+def test_intersections():
+    r = np.random.default_rng(0)
+    a, b = ([np.unique(r.choice(300, r.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (40, 31))
+    a = [np.union1d(x, [np.uint64(9999)]) for x in a]
+    b = [np.union1d(x, [np.uint64(9999)]) for x in b]
+    assert (nd.intersections(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_notices_that_differ_in_a_word(spark):
+    """Many short texts, each pair just under the threshold: no quadratic work, and links where they are."""
+    rows = [(k, f"this very short notice was sent to member number{k}") for k in range(3000)]
+    rows += [(5000 + k, f"this very short notice was sent to member number{k} again today so that they see it at last once more") for k in range(0, 60, 2)]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(frame(spark, rows)).collect()}
+    assert [i for i, c in got.items() if i != c] == []
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
