@@ -1,6 +1,6 @@
 """Exchange between documents and corpus-wide keys in packed form.
 
-Documents are dealt into buckets by a hash of their id.  What a bucket knows
+Documents are dealt into buckets by a hash of their id and text.  What a bucket knows
 about a key (a word, a line, a minimizer) is combined inside the bucket first
 and then sent to the key's shard as packed arrays, one row per bucket and
 shard; the shard's answer goes back to the buckets the same way.  A key that
@@ -19,16 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import textkernel as tk
-from quernstone.llm.cluster import id_text, partitions
+from quernstone.llm.cluster import id_text
 
-#: Buckets per shuffle partition: so many that partitions even out.
-SPREAD = 3
+#: Text of a bucket; a worker holds one at a time.
+BUCKET_BYTES = 8 << 20
 
 
-def bucketed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
-    """``bucket, doc_id, text``: the bucket is a function of the id alone."""
+def buckets_for(docs: DataFrame, text_col: str = "text", size: int = BUCKET_BYTES) -> int:
+    """How many buckets of about ``size`` bytes the texts fill.  A function of the table alone."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0]
+    return max(1, -(-(total or 0) // size))
+
+
+def bucketed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bucket, doc_id, text``: the bucket is a function of id and text, so that an id with many rows isn't one bucket."""
     docs = id_text(docs, id_col, text_col)
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(spread * partitions(docs.sparkSession))).cast("int").alias("bucket"), "doc_id", "text")
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
 
 
 def canonical(table: pa.Table) -> pa.Table:

@@ -7,11 +7,14 @@ words, and the probability of any other word given that it is one.
 
 The model is a GRU over the vocabulary with a class-factored softmax: P(word) =
 P(class) P(word | class), classes being runs of the frequency order of about
-equal root-frequency mass.  It is trained on *all* training documents, split
-into ``ROUNDS`` disjoint parts: in a round each partition runs truncated
-back-propagation (``STEPS`` words, state carried on) over its documents from
-the common weights, and the weights are averaged by words, in a tree.  What is
-broadcast is the model, whose size depends on the constants below alone.
+equal root-frequency mass.  It starts as the unigram model and is trained on
+*all* training documents, split into ``ROUNDS`` disjoint parts: in a round each
+bucket runs truncated back-propagation (``STEPS`` words, state carried on) over
+its documents from the common weights, and the weights are averaged by words,
+in a tree.  What is broadcast is the model, whose size depends on the constants
+below alone.  Buckets follow from the ids and the bytes of all texts, their
+rows are sorted and their weights added in order: scores are a function of the
+table and not of how Spark has partitioned it.
 
 Scoring carries the state from window to window to each document's end, so
 the whole text counts.  Documents run side by side in lanes.
@@ -28,17 +31,19 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import buckets as bk
 from quernstone.llm import textkernel as tk
-from quernstone.llm.cluster import cut, documents, id_text, partitions
+from quernstone.llm.cluster import cut, documents, id_text
 
-VOCAB = 1024
+VOCAB = 2048
 CLASSES = 32
 HIDDEN = 16
 STEPS = 16
 LANES, FEW_LANES = 512, 32
+#: Optimizer steps that a part of the training texts allows at least, by having fewer lanes.
+WINDOWS = 64
 #: Words whose probabilities are computed together.
 SCORE_ROWS = 8192
 ROUNDS = 3
-RATE = 0.015
+RATE = 0.02
 FAN_IN = 16
 END = np.uint64(0xE5D0A7C3B1F49682)
 FOLDS, HELD_OUT = 5, 1
@@ -49,12 +54,12 @@ _f = np.float32
 class Model:
     """GRU weights as one flat vector, with views by name."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES):
-        """``words``: hashes in order of frequency; the symbol after the last stands for all others."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, others: int = 0):
+        """``words``: hashes in order of frequency; the symbol after the last stands for all others, ``others`` in number."""
         self.sorted = np.argsort(words)
         self.words = words[self.sorted]
         self.n = len(words) + 1
-        mass = np.cumsum(np.sqrt(np.append(counts, max(1, counts.sum() // 8)).astype(float)))
+        mass = np.cumsum(np.sqrt(np.append(counts, max(1, others)).astype(float)))
         self.class_of = np.minimum((mass / mass[-1] * classes - 1e-9).astype(np.int64), classes - 1)
         self.class_of = np.unique(self.class_of, return_inverse=True)[1].astype(np.int16)
         self.k = int(self.class_of[-1]) + 1
@@ -62,7 +67,7 @@ class Model:
         self.h = hidden
         self.shapes = {"E": (self.n, 3 * hidden), "U": (hidden, 3 * hidden), "Wc": (hidden, self.k), "bc": (self.k,), "Ww": (hidden, self.n), "bw": (self.n,)}
         r = np.random.default_rng(7)
-        share = np.append(counts, max(1, counts.sum() // 8)) + 1.0
+        share = np.append(counts, max(1, others)) + 0.5
         start = {name: (r.normal(0, 0.1 if name == "E" else 1 / math.sqrt(hidden) / 2, shape)) for name, shape in self.shapes.items()}
         start["bw"] = np.log(share)
         start["bc"] = np.log(np.add.reduceat(share, self.limits[:-1]) / share.sum())
@@ -207,7 +212,7 @@ def run(model: Model, flat: np.ndarray, tokens: np.ndarray, ptr: np.ndarray, ada
     last = np.zeros(len(tokens), bool)
     last[ptr[1:][lengths > 0] - 1] = True
     if adam is not None:  # lanes of equal length; the few documents that they cut begin anew
-        lanes = max(1, min(lanes, len(tokens) // STEPS))
+        lanes = max(1, min(lanes, len(tokens) // (STEPS * WINDOWS)))
         places = np.array_split(np.arange(len(tokens)), lanes)
     else:  # whole documents; no more lanes than the longest one leaves work for
         lanes = max(FEW_LANES, min(lanes, len(tokens) // int(lengths.max())))
@@ -322,15 +327,6 @@ def _merge_tops(batches):
         yield _answer([(-1, 0, top[0].tobytes(), top[1].tobytes(), True, n, v)]).to_batches()[0]
 
 
-def _add_weights(batches):
-    total, n, any_row = 0.0, 0, False
-    for batch in batches:
-        for flat, k in zip(batch.column("flat").to_pylist(), batch.column("n").to_pylist()):
-            total, n, any_row = total + np.frombuffer(flat, np.float64), n + k, True
-    if any_row:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["flat", "n"])
-
-
 def in_tree(df: DataFrame, merge, schema: str) -> list:
     """Merges the one row of each partition, ``FAN_IN`` at a time; the driver gets ``FAN_IN`` rows at most."""
     n = df.rdd.getNumPartitions()
@@ -340,20 +336,44 @@ def in_tree(df: DataFrame, merge, schema: str) -> list:
     return df.collect()
 
 
-def _train(shared, r: int):
-    def go(batches):
+WEIGHTS = "bucket int, flat binary, n long"
+
+
+def _weights(bucket: int, flat: np.ndarray, n: int) -> pa.Table:
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "flat": pa.array([flat.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+
+def _train(shared):
+    """A bucket's documents of this round; its weights times its words."""
+
+    def go(table: pa.Table) -> pa.Table:
+        table = bk.canonical(table)
         model, flat = shared.value
-        flat, adam, n = flat.copy(), Adam(len(flat)), 0
-        for batch in batches:
-            tokens, ptr = _tokens(batch.column("text"), model.symbols)
-            run(model, flat, tokens, ptr, adam)
-            n += len(tokens)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([(flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["flat", "n"])
+        flat = flat.copy()
+        tokens, ptr = _tokens(table.column("text"), model.symbols)
+        run(model, flat, tokens, ptr, Adam(len(flat)))
+        return _weights(table.column("bucket")[0].as_py(), flat.astype(np.float64) * len(tokens), len(tokens))
 
     return go
 
 
+def _add_weights(table: pa.Table) -> pa.Table:
+    """The sum of some buckets' weights, in order of the buckets."""
+    table, total = table.sort_by("bucket"), 0.0
+    for flat in table.column("flat"):
+        total = total + np.frombuffer(flat.as_buffer(), np.float64)
+    return _weights(table.column("bucket")[0].as_py() // FAN_IN, total, sum(table.column("n").to_pylist()))
+
+
+def average(rows: DataFrame, buckets: int) -> np.ndarray | None:
+    """The weights of all buckets, averaged by words; the driver gets ``FAN_IN`` of them at most."""
+    while buckets > FAN_IN:
+        rows = rows.withColumn("parent", F.floor(F.col("bucket") / FAN_IN).cast("int")).groupBy("parent").applyInArrow(_add_weights, WEIGHTS)
+        buckets = -(-buckets // FAN_IN)
+    found = sorted(rows.collect())
+    return sum(np.frombuffer(x.flat, np.float64) for x in found) / sum(x.n for x in found) if found else None
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -385,26 +405,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Learns from the documents whose crc32(id as text) mod 5 is not 1.  Null
     and empty texts are one end token; a null id counts as the empty text.
     Repeated rows count each; other columns are not looked at.  Without
-    training documents all words share one probability.
+    training documents all words share one probability.  An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    dealt = bk.bucketed(docs, spread=1).withColumn("held_out", fold == HELD_OUT)
-    counts = dealt.groupBy("bucket").applyInArrow(_send_counts(partitions(spark)), "shard int, bucket int, words binary, counts binary")
+    n = bk.buckets_for(docs)
+    dealt = bk.bucketed(docs, n).withColumn("held_out", fold == HELD_OUT)
+    counts = dealt.groupBy("bucket").applyInArrow(_send_counts(n), "shard int, bucket int, words binary, counts binary")
     answers = cut(counts.groupBy("shard").applyInArrow(_total_counts, ANSWER))
     tops = in_tree(answers.filter("bucket = -1").mapInArrow(_merge_tops, ANSWER), _merge_tops, ANSWER)
     n_all, v_all = sum(t.n for t in tops), sum(t.v for t in tops)
     words, freq = _top(*(np.concatenate([np.zeros(0, t), *(np.frombuffer(x[c], t) for x in tops)]) for c, t in (("words", np.uint64), ("counts", np.int64))))
-    model = Model(words, freq)
+    n_other, v_other = n_all - int(freq.sum()), v_all - len(freq)
+    model = Model(words, freq, others=n_other)
     flat = model.flat
     for r in range(ROUNDS):
-        part = docs.filter((fold != HELD_OUT) & (F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r)).select("text")
-        rows = in_tree(part.mapInArrow(_train(spark.sparkContext.broadcast((model, flat)), r), "flat binary, n long"), _add_weights, "flat binary, n long")
-        if rows:
-            flat = (sum(np.frombuffer(x.flat, np.float64) for x in rows) / sum(x.n for x in rows)).astype(_f)
+        part = bk.bucketed(docs.filter((fold != HELD_OUT) & (F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r)), n)
+        shared = spark.sparkContext.broadcast((model, flat))
+        learned = average(part.groupBy("bucket").applyInArrow(_train(shared), WEIGHTS), n)
+        if learned is not None:
+            flat = learned.astype(_f)
     shared = spark.sparkContext.broadcast((model, flat))
-    score = _score(shared, n_all, v_all, n_all - int(freq.sum()), v_all - len(freq))
+    score = _score(shared, n_all, v_all, n_other, v_other)
     return dealt.groupBy("bucket").cogroup(answers.filter("bucket >= 0").groupBy("bucket")).applyInArrow(score, SCORES)
 
 

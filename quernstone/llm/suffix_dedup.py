@@ -8,14 +8,20 @@ document with a smaller id.  Only strings that can occur twice need sorting:
    minimizer occurs in one document only can't repeat.  Buckets send the
    distinct hashes they have to the hashes' shards and get back the shared ones.
 2. Runs of windows with one shared minimizer are sent, as bytes, to the
-   minimizer's shard; equal runs of a bucket travel once, with the list of
-   their places.  So equal windows of the whole corpus meet in one shard.
-3. The shard sorts the windows: a multikey quicksort on eight-byte characters
-   down to the shallow depth, then blind tries for the groups still tied.
-   Equal windows are neighbours then; those in a document with a larger id
-   than the least of their group are marked, and the marks go back.
-
-Step 3 is exact on bytes; steps 1 and 2 only decide what is sorted where.
+   minimizer's shard; runs of a bucket with the same bytes travel once, with
+   the least and the largest id that have them.  So equal windows of the whole
+   corpus meet in one shard, once a bucket.
+3. The shard sorts the windows of all its distinct runs: a multikey quicksort
+   on eight-byte characters down to the shallow depth, then blind tries for the
+   groups still tied.  Equal windows are neighbours then, and the least id of
+   their runs is theirs.  Back go, for each run of a bucket, the stretches of
+   its windows and their least ids.
+4. The bucket finds its runs again and deletes, in each document that has one,
+   the windows whose least id is smaller.
+
+Step 3 is exact on bytes, and so is the merging of equal runs; hashes only
+decide what is sorted where.  Buckets follow the bytes of the texts, and a
+passage of any number of documents is one entry a bucket.
 """
 
 from __future__ import annotations
@@ -29,13 +35,13 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import buckets as bk
 from quernstone.llm import textkernel as tk
-from quernstone.llm.cluster import documents, partitions
+from quernstone.llm.cluster import documents
 
 LENGTH = 50
 GRAM = 20
 SHALLOW = 32
-#: Shards of runs per shuffle partition; a task sorts one at a time.
-SHARDS = 2
+#: Shards of runs per bucket; a worker sorts one at a time.
+SHARDS = 3
 NO_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -187,7 +193,7 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = LENGTH, shall
 
 
 def _texts(table: pa.Table):
-    """``(ids, chunk, first row)`` over a bucket; rows without an id count as empty."""
+    """``(ids, chunk)`` over a bucket; rows without an id count as empty."""
     ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
     for chunk in tk.chunks(table.column("text")):
         yield ids, chunk
@@ -200,6 +206,19 @@ def _runs(table: pa.Table):
         yield chunk, first[named], last[named], h[named], chunk.lo + doc[named], pre
 
 
+def _all_runs(table: pa.Table):
+    """All runs of a (canonical) bucket and the first of each set of runs with the same bytes.
+
+    ``buf``: the bucket's bytes; ``begin``, ``size``: each run's place there;
+    ``h``: its minimizer; ``row``; ``pos``: its place in the row; ``lead``: the
+    first run with the same bytes.
+    """
+    buf, offs = tk.layout(table.column("text"))
+    parts = [(h, tk.span_hash(pre, first, last + LENGTH), offs[chunk.lo] + first, last + LENGTH - first, row) for chunk, first, last, h, row, pre in _runs(table)]
+    h, content, begin, size, row = (np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in enumerate((_U, _U, np.int64, np.int64, np.int64)))
+    return buf, begin, size, h, row, begin - offs[row], _equal_runs(buf, begin, size, content)
+
+
 def _send_hashes(shards: int):
     """Bucket to shard: its distinct minimizers; those of two of its rows first."""
 
@@ -242,71 +261,19 @@ def _shared_hashes(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "hashes": pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
 
-RUNS = "shard int, bucket int, gram binary, size binary, data binary, n_places binary, doc binary, row binary, pos binary"
-
-
-def _send_runs(shards: int):
-    """Bucket to shard: the distinct runs of windows with shared minimizers, and where they stand."""
-
-    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        empty = pa.table({f.split()[0]: pa.array([], pa.int32() if f.endswith("int") else pa.binary()) for f in RUNS.split(", ")})
-        if not table.num_rows or not shared.num_rows:
-            return empty
-        table = bk.canonical(table)
-        bucket = table.column("bucket")[0].as_py()
-        raw, counts = bk.joined(shared.column("hashes"), "V6")
-        shard_of = np.repeat(shared.column("shard").to_numpy(), counts)
-        low = bk.unpack48(raw.tobytes())
-        by = np.lexsort((shard_of, low))
-        low, ids = low[by], table.column("doc_id").fill_null(NO_ID).to_numpy()
-        parts = []
-        for chunk, first, last, h, row, pre in _runs(table):
-            h48 = h & _U((1 << 48) - 1)
-            at = np.searchsorted(low, h48)
-            at[at == len(low)] = 0
-            hit = np.flatnonzero(low[at] == h48) if len(low) else np.zeros(0, np.int64)
-            if not len(hit):
-                continue
-            first, end, h, row = first[hit], last[hit] + LENGTH, h[hit], row[hit]
-            content = tk.span_hash(pre, first, end)
-            take = tk.ragged(first, end - first)
-            parts.append((h, content, end - first, row, first - chunk.offs[row - chunk.lo], chunk.buf[take]))
-        if not parts:
-            return empty
-        h, content, size, row, pos, data = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        begin = np.cumsum(size) - size
-        shard = (h % _U(shards)).astype(np.int64)
-        order = np.lexsort((row, content, shard))
-        new = np.ones(len(order), bool)
-        new[1:] = (content[order][1:] != content[order][:-1]) | (shard[order][1:] != shard[order][:-1])
-        lead = order[new]
-        places = np.diff(np.append(np.flatnonzero(new), len(order)))
-        cuts = np.searchsorted(shard[lead], np.arange(shards + 1))
-        ends = np.append(0, np.cumsum(places))
-        out = {f.split()[0]: [] for f in RUNS.split(", ")}
-        for s in range(shards):
-            a, b = int(cuts[s]), int(cuts[s + 1])
-            if a == b:
-                continue
-            l, o = lead[a:b], order[ends[a] : ends[b]]
-            row_out = (s, bucket, (h[l] >> _U(32)).astype(np.uint32), size[l].astype(np.uint8), data[tk.ragged(begin[l], size[l])], places[a:b].astype(np.int32), ids[row[o]], row[o].astype(np.int32), pos[o].astype(np.int32))
-            for name, v in zip(out, row_out):
-                out[name].append(v.tobytes() if isinstance(v, np.ndarray) else v)
-        return pa.table({name: pa.array(v, empty.schema.field(name).type) for name, v in out.items()})
-
-    return run
+RUNS = "shard int, bucket int, number binary, size binary, data binary, least binary, most binary"
+MARKS = "bucket int, number binary, first binary, after binary, least binary"
 
 
-def _equal_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each run the first run of the same bytes."""
-    h = tk.span_hash(tk.prefix_hash(data), begin, begin + size)
+def _equal_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each run the first run of the same bytes (hashes propose, the bytes decide)."""
     by = np.lexsort((np.arange(len(h)), h))
     head = np.append(True, h[by][1:] != h[by][:-1]) if len(by) else np.zeros(0, bool)
     first = np.empty(len(h), np.int64)
     first[by] = by[np.flatnonzero(head)][np.cumsum(head) - 1]
     wrong = size != size[first]
     other = np.flatnonzero((first != np.arange(len(h))) & ~wrong)
-    for lo in range(0, len(other), 1 << 15):  # a hash says that they are equal; the bytes must say so too
+    for lo in range(0, len(other), 1 << 15):
         k = other[lo : lo + (1 << 15)]
         differ = data[tk.ragged(begin[k], size[k])] != data[tk.ragged(begin[first[k]], size[k])]
         wrong[k] = np.add.reduceat(differ, np.cumsum(size[k]) - size[k]) > 0
@@ -314,77 +281,97 @@ def _equal_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.nda
     return first
 
 
-def _mark(table: pa.Table) -> pa.Table:
-    """Shard to buckets: sorted windows tell which bytes of which rows go.
+def _send_runs(shards: int):
+    """Bucket to shard: the distinct runs of windows with shared minimizers, and the least and largest id that have each."""
 
-    Runs of the same bytes are one.  A run that alone has its minimizer shares
-    no window with other runs; the windows of the others are sorted.
-    """
-    size = bk.joined(table.column("size"), np.uint8)[0].astype(np.int64)
-    gram, _ = bk.joined(table.column("gram"), np.uint32)
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.split()[0]: [] for f in RUNS.split(", ")}
+        if table.num_rows and shared.num_rows:
+            table = bk.canonical(table)
+            bucket, ids = table.column("bucket")[0].as_py(), table.column("doc_id").fill_null(NO_ID).to_numpy()
+            low = np.sort(bk.unpack48(bk.joined(shared.column("hashes"), "V6")[0].tobytes()))
+            buf, begin, size, h, row, _, lead = _all_runs(table)
+            h48 = h & _U((1 << 48) - 1)
+            at = np.searchsorted(low, h48)
+            at[at == len(low)] = 0
+            least, most = np.full(len(h), NO_ID), np.full(len(h), -NO_ID - 1)
+            np.minimum.at(least, lead, ids[row])
+            np.maximum.at(most, lead, ids[row])
+            sent = np.flatnonzero((low[at] == h48) & (lead == np.arange(len(h)))) if len(low) else np.zeros(0, np.int64)
+            order, cuts = bk.by_shard(h[sent], shards)
+            for s in range(shards):
+                r = sent[order[cuts[s] : cuts[s + 1]]]
+                if len(r):
+                    for name, v in zip(out, (s, bucket, r.astype(np.int32), size[r].astype(np.uint8), buf[tk.ragged(begin[r], size[r])], least[r], most[r])):
+                        out[name].append(v.tobytes() if isinstance(v, np.ndarray) else v)
+        return pa.table({name: pa.array(v, pa.int32() if name in ("shard", "bucket") else pa.binary()) for name, v in out.items()})
+
+    return run
+
+
+def _mark(table: pa.Table) -> pa.Table:
+    """Shard to buckets: the least id of each window of their runs, by stretches; only where it can delete something."""
+    size, per_bucket = bk.joined(table.column("size"), np.uint8)
+    size = size.astype(np.int64)
     data, _ = bk.joined(table.column("data"), np.uint8)
-    n_places, _ = bk.joined(table.column("n_places"), np.int32)
-    doc, places_of = bk.joined(table.column("doc"), np.int64)
-    row, pos = (bk.joined(table.column(c), np.int32)[0] for c in ("row", "pos"))
+    number, _ = bk.joined(table.column("number"), np.int32)
+    least_id, most_id = (bk.joined(table.column(c), np.int64)[0] for c in ("least", "most"))
     begin = np.cumsum(size) - size
-    first = _equal_runs(data, begin, size)
+    first = _equal_runs(data, begin, size, tk.span_hash(tk.prefix_hash(data), begin, begin + size))
     least_run = np.full(len(size), NO_ID)
-    if len(doc):
-        np.minimum.at(least_run, first, np.minimum.reduceat(doc, np.cumsum(n_places) - n_places))
+    np.minimum.at(least_run, first, least_id)
     lead = np.flatnonzero(first == np.arange(len(size)))
-    _, inverse, count = np.unique(gram[lead], return_inverse=True, return_counts=True)
-    mixed = lead[count[inverse] > 1]
     n_win = np.zeros(len(size), np.int64)
-    n_win[mixed] = size[mixed] - LENGTH + 1
+    n_win[lead] = size[lead] - LENGTH + 1
     first_win = np.cumsum(n_win) - n_win
-    starts = tk.ragged(begin, n_win)
-    least = np.empty(len(starts), np.int64)
-    order, cls = deep_shallow(data, starts)
+    least = np.empty(int(n_win.sum()), np.int64)
+    order, cls = deep_shallow(data, tk.ragged(begin, n_win))
     if len(cls):
         run_of = np.repeat(least_run, n_win)
         least[order] = np.minimum.reduceat(run_of[order], np.flatnonzero(np.append(True, cls[1:] != cls[:-1])))[cls]
-    worst = least_run.copy()
-    if len(mixed):
-        worst[mixed] = np.minimum.reduceat(least, first_win[mixed])
-    run_at = first[np.repeat(np.arange(len(size)), n_places)]
-    bucket_at = np.repeat(table.column("bucket").to_numpy(), places_of)
-    some = worst[run_at] < doc
-    whole = np.flatnonzero(some & (n_win[run_at] == 0))
-    out = {"bucket": [bucket_at[whole]], "row": [row[whole]], "s": [pos[whole]], "e": [pos[whole] + size[run_at[whole]]]}
-    some = np.flatnonzero(some & (n_win[run_at] > 0))
-    for lo in range(0, len(some), 1 << 15):
-        p = some[lo : lo + (1 << 15)]
-        r = run_at[p]
-        win = tk.ragged(first_win[r], n_win[r])
-        who = np.repeat(np.arange(len(p)), n_win[r])
-        off = win - first_win[r][who]
-        goes = least[win] < doc[p][who]
-        who, off = who[goes], off[goes]
-        new = np.ones(len(who), bool)
-        new[1:] = (who[1:] != who[:-1]) | (off[1:] != off[:-1] + 1)
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(who)) - 1
-        k = p[who[at]]
-        out["bucket"].append(bucket_at[k])
-        out["row"].append(row[k])
-        out["s"].append(pos[k] + off[at])
-        out["e"].append(pos[k] + off[last] + LENGTH)
-    b, r, s, e = (np.concatenate([np.zeros(0, np.int32), *out[c]]).astype(np.int32) for c in ("bucket", "row", "s", "e"))
-    by = np.argsort(b, kind="stable")
-    b, r, s, e = b[by], r[by], s[by], e[by]
-    at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else np.zeros(1, np.int64)
-    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
-    return pa.table({"bucket": pa.array(b[at[:-1]] if len(b) else b, pa.int32()), "row": cut(r), "s": cut(s), "e": cut(e)})
+    del order, cls
+    # stretches of windows of one run with one least id
+    of = np.repeat(np.arange(len(size)), n_win)
+    head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1]))) if len(of) else np.zeros(0, np.int64)
+    tail, own = np.append(head[1:], len(of)), of[head]
+    ptr = np.searchsorted(own, np.arange(len(size) + 1))
+    s_lo, s_hi, s_id = head - first_win[own], tail - first_win[own], least[head]
+    n = np.diff(ptr)[first]
+    each, stretch = np.repeat(np.arange(len(size)), n), tk.ragged(ptr[first], n)
+    some = s_id[stretch] < most_id[each]
+    each, stretch = each[some], stretch[some]
+    at = np.searchsorted(each, np.append(0, np.cumsum(per_bucket)))
+    values = number[each], s_lo[stretch].astype(np.uint8), s_hi[stretch].astype(np.uint8), s_id[stretch]
+    rows = [k for k in range(table.num_rows) if at[k] < at[k + 1]]
+    packed = [pa.array([v[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary()) for v in values]
+    return pa.table([table.column("bucket").take(pa.array(rows, pa.int64())), *packed], names=[f.split()[0] for f in MARKS.split(", ")])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept_text binary"
 
 
+def _spans(table: pa.Table, marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, start, end)`` of the bytes to delete, by row."""
+    number, first, after, least = (bk.joined(marks.column(c), t)[0] for c, t in (("number", np.int32), ("first", np.uint8), ("after", np.uint8), ("least", np.int64)))
+    if not len(number) or not table.num_rows:
+        return (np.zeros(0, np.int64),) * 3
+    ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
+    _, _, _, _, row, pos, lead = _all_runs(table)
+    by = np.argsort(number, kind="stable")
+    number, first, after, least = number[by], first[by].astype(np.int64), after[by].astype(np.int64), least[by]
+    lo = np.searchsorted(number, lead)
+    n = np.searchsorted(number, lead, "right") - lo
+    run, k = np.repeat(np.arange(len(lead)), n), tk.ragged(lo, n)
+    goes = least[k] < ids[row[run]]
+    run, k = run[goes], k[goes]
+    return row[run], pos[run] + first[k], pos[run] + after[k] - 1 + LENGTH
+
+
 def _apply(with_text: bool):
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
         if table.num_rows:
             table = bk.canonical(table)
-        r, s, e = (bk.joined(marks.column(c), np.int32)[0] for c in ("row", "s", "e"))
+        r, s, e = _spans(table, marks)
         by = np.argsort(r, kind="stable")
         r, s, e = r[by], s[by], e[by]
         at = np.searchsorted(r, np.arange(table.num_rows + 1))
@@ -392,7 +379,7 @@ def _apply(with_text: bool):
         for _, chunk in _texts(table):
             for k in range(chunk.n):
                 row, text = chunk.lo + k, chunk.text(k)
-                a, b = tk.merge_spans(s[at[row] : at[row + 1]].astype(np.int64), e[at[row] : at[row + 1]].astype(np.int64))
+                a, b = tk.merge_spans(s[at[row] : at[row + 1]], e[at[row] : at[row + 1]])
                 if len(a):
                     edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(text)]
                     kept = b"".join(text[i:j] for i, j in zip(edges[0::2], edges[1::2]))
@@ -413,14 +400,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the remaining bytes, which need not be whole characters (both null unless
     ``with_text``).  Texts are judged as they came in.  A null text is empty.
     A row with a null id has no smaller or larger neighbours and stays whole.
-    Rows with one id do not remove each other.  Other columns are not looked at.
+    Rows with one id do not remove each other.  An empty table gives no rows.
+    Other columns are not looked at.
     """
-    few = partitions(docs.sparkSession)
-    dealt = bk.bucketed(docs, id_col, text_col, spread=1)
-    hashes = dealt.groupBy("bucket").applyInArrow(_send_hashes(few), "shard int, bucket int, multi int, hashes binary")
+    n = bk.buckets_for(docs, text_col)
+    dealt = bk.bucketed(docs, n, id_col, text_col)
+    hashes = dealt.groupBy("bucket").applyInArrow(_send_hashes(n), "shard int, bucket int, multi int, hashes binary")
     shared = hashes.filter(F.length("hashes") > 0).groupBy("shard").applyInArrow(_shared_hashes, "bucket int, shard int, hashes binary")
-    runs = dealt.groupBy("bucket").cogroup(shared.filter(F.length("hashes") > 0).groupBy("bucket")).applyInArrow(_send_runs(SHARDS * few), RUNS)
-    marks = runs.groupBy("shard").applyInArrow(_mark, "bucket int, row binary, s binary, e binary")
+    runs = dealt.groupBy("bucket").cogroup(shared.filter(F.length("hashes") > 0).groupBy("bucket")).applyInArrow(_send_runs(SHARDS * n), RUNS)
+    marks = runs.groupBy("shard").applyInArrow(_mark, MARKS)
     return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(with_text), RESULT)
 
 

@@ -35,6 +35,21 @@ def test_matches_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sd.bk, "buckets_for", lambda *_: 7)
+    rows = awkward(3, 80) + [(None, "x" * 5000), (6, "y" * 80), (6, "y" * 80)]
+    got = sd.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_a_text_over_a_chunk(spark):
+    long = "".join(f"word{k} " for k in range(150000))
+    rows = [(1, long[5000:9000]), (2, long), (3, "own " + long[600000:700000] + " own")]
+    assert len(long) > 1 << 20
+    got = sd.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_documents_of_the_fixture(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
