@@ -5,17 +5,23 @@ All of it is DataFrame functions; nothing runs in Python on the executors.
 Base.  E-mail, IP, card and phone are Java regular expressions that match
 leftmost without overlap; possessive quantifiers keep them linear and off the
 stack.  Positions come from splitting at the matches: the pieces and the
-matches alternate, so running lengths in code points give each start.
-
-Bootstrap.  Candidates are tokens with a digit.  Each stands in up to two
-lexical patterns: the word before it, and its own prefix up to a separator
-(``password=``).  Tokens that overlap a base span are seeds.  Patterns and
-tokens (instances) form a bipartite graph, aggregated over the corpus; a few
-rounds move confidence along it: a pattern is as good as the mean of its
-instances, damped by ``DAMP`` unseen doubtful ones, and an instance is
-certain if it is a seed and else the noisy-or of its good patterns.  Patterns
-with ``ACCEPT`` confidence and ``SUPPORT`` instances mark their other
-candidates as personal data of kind ``id``.
+matches alternate, so running lengths in code points give each start.  Running
+sums are made in stretches of about a root of their number, so that many
+matches in one text cost little more than a few.
+
+Bootstrap.  Base spans are marked in the text, which is then split into tokens;
+a token with a mark is a seed.  A token stands in up to two lexical patterns:
+its own prefix up to a separator (``password=``) and the word before it; a seed
+in the first of them that it has.
+Patterns that ``SEEDS`` different seeds have are the contexts; every other
+token in a context is a candidate, with or without digits.  Patterns and tokens
+(instances) form a bipartite graph, aggregated over the corpus; a few rounds
+move confidence along it: a pattern is as good as the mean of its instances,
+damped by ``DAMP`` unseen doubtful ones, and an instance is certain if it is a
+seed and else the noisy-or of its good patterns.  Patterns with ``ACCEPT``
+confidence (``STRICT`` for candidates without a digit) and ``SUPPORT``
+instances mark their candidates as personal data of kind ``id``.  Words after
+an identifier are not used.
 """
 
 from __future__ import annotations
@@ -36,27 +42,59 @@ PATTERNS = {
 #: What every match contains.
 PRESENT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+SPACE = r"[\x20\x09-\x0D]"
+#: The mark before a base span and the stand-in for white space inside one; texts that have them get ``INSTEAD``.
+MARK, GAP, INSTEAD = "\x01", "\x02", "\x03"
+#: Letters and a separator that begin a token, and what it needs to go on.
+PREFIX = r"^(\p{L}{3,}+[=:#_-])"
 ROUNDS = 3
 DAMP = 2.0
-ACCEPT, SUPPORT, SEEDS = 0.6, 5, 3
-MIN_LENGTH = 5
+ACCEPT, STRICT, SUPPORT, SEEDS = 0.6, 0.8, 5, 3
+MIN_LENGTH = 3
+#: Contexts are broadcast up to here, and joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
 
 SPAN = "array<struct<start: int, kind: int, stop: int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(lengths: Column) -> Column:
+    """What stands before each element of an array of ints, summed up."""
+
+    def stretch(part: Column, before: Column) -> Column:
+        start = F.struct(before.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def stretches(values: Column) -> Column:
+        return _let(
+            F.ceil(F.sqrt(F.size(values))).cast("int"),
+            lambda k: _let(
+                F.transform(F.sequence(F.lit(0), F.size(values) - 1, k), lambda at: F.slice(values, at + 1, k)),
+                lambda parts: _let(
+                    stretch(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x)), F.lit(0)),
+                    lambda before: F.flatten(F.zip_with(parts, before, stretch)),
+                ),
+            ),
+        )
+
+    return _let(lengths, lambda values: F.when(F.size(values) > 0, stretches(values)).otherwise(F.array().cast("array<int>")))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """Array of (before, match): each match and what stands between it and the last one."""
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    return _let(found, lambda m: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda p, x: F.struct(p.alias("before"), x.alias("match"))))
+
+
 def _positions(text: Column, pattern: str) -> Column:
     """Array of (start, match) of all matches, in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, match: string>>").alias("out"))
-    return F.aggregate(
-        F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m")),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).alias("start"), x["m"].alias("match")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    return _let(
+        _pieces(text, pattern),
+        lambda found: F.zip_with(found, _running(F.transform(found, lambda x: F.length(x["before"]) + F.length(x["match"]))), lambda x, at: F.struct((at + F.length(x["before"])).alias("start"), x["match"].alias("match"))),
     )
 
 
@@ -94,23 +132,74 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(spans(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def candidates(text: Column, spans: Column) -> Column:
-    """Tokens with a digit: start, stop, instance, the word before, the prefix, and whether a base span overlaps."""
-    nothing = F.array().cast("array<struct<start: int, stop: int, instance: string, before: string, prefix: string, seed: boolean>>")
-    found = _positions(text, TOKEN)
+def _marked(text: Column) -> Column:
+    """The text with a mark before each valid base match, and no white space inside."""
+
+    def mark(text: Column, kind: str) -> Column:
+        def one(x: Column) -> Column:
+            return F.concat(x["before"], F.when(_valid(kind, x["match"]), F.concat(F.lit(MARK), F.regexp_replace(x["match"], SPACE, GAP))).otherwise(x["match"]))
+
+        def whole(t: Column) -> Column:
+            return F.concat(F.array_join(F.transform(_pieces(t, PATTERNS[kind]), one), ""), F.element_at(F.split(t, PATTERNS[kind], -1), -1))
+
+        return F.when(text.rlike(PRESENT[kind]), _let(text, whole)).otherwise(text)
+
+    out = F.translate(text, MARK + GAP, INSTEAD * 2)
+    for kind in KINDS:
+        out = _let(out, _of(mark, kind))
+    return out
+
+
+def _of(function, kind: str):
+    return lambda text: function(text, kind)
+
+
+def tokens(text: Column) -> Column:
+    """Array of (start, token, last): the tokens of a marked text, where each starts without the marks, and the token before it."""
+
+    def with_last(found: Column) -> Column:
+        return F.transform(found, lambda x, k: F.struct(x["start"].alias("start"), x["token"].alias("token"), F.when(k > 0, F.get(found, k - 1)["token"]).alias("last")))
+
+    def placed(pieces: Column) -> Column:
+        starts = _running(F.transform(pieces, lambda t: F.length(F.translate(t, MARK, "")) + 1))
+        return F.filter(F.zip_with(pieces, starts, lambda t, at: F.struct(at.alias("start"), t.alias("token"))), lambda x: x["token"] != "")
+
+    return _let(_let(F.split(text, SPACE, -1), placed), with_last)
+
+
+def _before(last: Column) -> Column:
+    """The pattern of the word before; null if there is none or it holds a digit or a span."""
+    return F.when(~last.rlike(f"[0-9{MARK}]"), F.concat(F.lit("before:"), F.lower(last)))
+
+
+def _core(token: Column) -> tuple[Column, Column]:
+    """The token without punctuation at its ends, and how much was cut in front."""
+    rest = F.regexp_replace(token, r"^[^\p{L}\p{N}+]++", "")
+    return F.regexp_replace(rest, r"(?<=[\p{L}\p{N}+])[^\p{L}\p{N}+]++$", ""), F.length(token) - F.length(rest)
+
+
+def seed_patterns(docs: DataFrame) -> DataFrame:
+    """``(pattern, instance)`` of the marked tokens of ``docs(text, base)``."""
+    some = docs.filter(F.size("base") > 0).select(F.explode(F.filter(tokens(_marked(F.col("text"))), lambda x: F.contains(x["token"], F.lit(MARK)))).alias("t"))
+    left = F.substring_index("t.token", MARK, 1)
+    instance = F.lower(F.translate(F.substring_index("t.token", MARK, -1), GAP, " "))
+    prefix = F.regexp_extract(left, r"(?<!\p{L})(\p{L}{3,}+[=:#_-])$", 1)
+    pattern = F.when(F.length(prefix) > 0, F.concat(F.lit("prefix:"), F.lower(prefix))).otherwise(_before(F.col("t.last")))
+    return some.select(pattern.alias("pattern"), instance.alias("instance")).filter("pattern is not null").distinct()
 
-    def describe(m: Column) -> Column:
-        start, token = m["start"], m["match"]
-        core = F.regexp_replace(token, r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-        lead = F.length(token) - F.length(F.regexp_replace(token, r"^[^\p{L}\p{N}+]+", ""))
-        stop = start + lead + F.length(core)
-        tail = F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60)))
-        before = F.lower(F.regexp_extract(tail, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D0-9]+)[\x20\x09-\x0D]+$", 1))
-        prefix = F.lower(F.regexp_extract(core, r"^(\p{L}{3,30}[=:#_-])", 1))
-        seed = F.exists(spans, lambda s: (s["start"] < stop) & (s["stop"] > start + lead))
-        return F.struct((start + lead).alias("start"), stop.alias("stop"), F.lower(core).alias("instance"), before.alias("before"), prefix.alias("prefix"), seed.alias("seed"))
 
-    return F.when(text.rlike("[0-9]"), F.filter(F.transform(found, describe), lambda c: F.length(c["instance"]) >= MIN_LENGTH)).otherwise(nothing)
+def candidates(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``(doc_id, fp, pattern, start, stop, instance)`` of the unmarked tokens of ``docs(doc_id, text, fp, base)`` that stand in ``contexts(pattern)``."""
+    text = F.when(F.size("base") > 0, _marked(F.col("text"))).otherwise(F.translate("text", MARK + GAP, INSTEAD * 2))
+    each = docs.select("doc_id", "fp", F.explode(tokens(text)).alias("t")).select("doc_id", "fp", "t.*").filter(~F.contains("token", F.lit(MARK)))
+    prefix = F.when(F.col("token").rlike(PREFIX + "."), F.concat(F.lit("prefix:"), F.lower(F.regexp_extract("token", PREFIX, 1))))
+    held = each.select("doc_id", "fp", "start", "token", F.explode(F.array_compact(F.array(_before(F.col("last")), prefix))).alias("pattern"))
+    few = contexts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = held.join(F.broadcast(contexts) if few else contexts, "pattern")
+    skip = F.when(F.col("pattern").startswith("prefix:"), F.length("pattern") - len("prefix:")).otherwise(F.lit(0))
+    core, lead = _core(F.col("rest"))
+    held = held.withColumn("skip", skip).withColumn("rest", F.substring("token", F.col("skip") + 1, F.length("token"))).withColumns({"core": core, "at": F.col("start") + F.col("skip") + lead})
+    return held.filter(F.length("core") >= MIN_LENGTH).select("doc_id", "fp", "pattern", F.col("at").alias("start"), (F.col("at") + F.length("core")).alias("stop"), F.lower("core").alias("instance"))
 
 
 def score_patterns(occurrences: DataFrame) -> DataFrame:
@@ -133,18 +222,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Offsets are code points, ends exclusive; ``kind`` indexes :data:`KINDS`,
     and 4 is an identifier found by context.  ``spans`` holds the base ones
     too.  Null and empty texts have none.  Null ids and repeated rows are
-    treated like others.  Other columns are not looked at.
+    treated like others; an empty table gives no rows.  Other columns are not
+    looked at.
     """
-    docs = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("base", base_spans(F.col("text"))).withColumn("cand", candidates(F.col("text"), F.col("base")))
-    rows = cut(rows.select("doc_id", F.xxhash64("text").alias("fp"), "base", "cand"))
-    each = rows.select("doc_id", "fp", F.explode("cand").alias("c")).select("doc_id", "fp", "c.*")
-    names = [F.when(F.length(c) > 0, F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("before", "prefix")]
-    held = each.select("doc_id", "fp", "start", "stop", "instance", "seed", F.explode(F.array_compact(F.array(*names))).alias("pattern"))
-    good = score_patterns(held.select("pattern", "instance", "seed")).filter(f"score >= {ACCEPT} and support >= {SUPPORT} and seeds >= {SEEDS}").select("pattern")
-    new = held.filter("not seed").join(good, "pattern", "left_semi").groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "stop")).alias("more"))
-    new = new.select(F.col("doc_id").alias("new_id"), F.col("fp").alias("new_fp"), "more")
-    joined = rows.join(new, F.expr("doc_id <=> new_id and fp = new_fp"), "left")
+    docs = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("fp", F.xxhash64("text"))
+    docs = docs.withColumn("base", base_spans(F.col("text")))
+    seeds = cut(seed_patterns(docs))
+    contexts = cut(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).filter(f"seeds >= {SEEDS}").select("pattern"))
+    found = cut(candidates(docs, contexts))
+    edges = seeds.join(contexts, "pattern").select("pattern", "instance", F.lit(True).alias("seed")).unionByName(found.select("pattern", "instance", F.lit(False).alias("seed")))
+    good = score_patterns(edges).filter(f"score >= {ACCEPT} and support >= {SUPPORT} and seeds >= {SEEDS}").select("pattern", "score")
+    new = found.join(good, "pattern").filter((F.col("score") >= STRICT) | F.col("instance").rlike("[0-9]"))
+    new = new.groupBy("doc_id", "fp", "stop").agg(F.max("start").alias("start"))  # without a prefix that is a pattern itself
+    new = new.groupBy(F.col("doc_id").alias("new_id"), F.col("fp").alias("new_fp")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "stop")).alias("more"))
+    joined = docs.select("doc_id", "fp", "base").join(new, F.expr("doc_id <=> new_id and fp = new_fp"), "left")
     return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN)))).alias("spans"))
 
 

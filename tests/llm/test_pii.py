@@ -56,6 +56,36 @@ def test_contexts_discover_new_identifiers(spark):
     assert got[51] == [] and got[52] == []
 
 
+def test_spans_of_several_tokens_and_prefixes_are_seeds(spark):
+    rows = [(k, f"to reach us dial +1 (555) {100 + k}-4567 or mailto:u{k}@x.example at night") for k in range(20)]
+    rows += [(50, "to reach us dial EXTENSION or mailto:someone at night"), (51, "they like to dial in at times, or read on")]
+    rows += [(52, "emails mailto:\x01odd now"), (53, "dial +1 (555) 777-4567 \x02 dial ABCDEF.")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got[50] == [(17, 4, 26), (37, 4, 44)] and got[0] == brute(rows[0][1])
+    assert got[51] == []
+    assert got[52] == [(15, 4, 18)] and got[53] == [(5, 3, 22), (30, 4, 36)]
+
+
+def test_recall_of_unseen_identifiers(spark):
+    """Identifiers of a form no pattern knows, in contexts that base spans share with them: all are found, and no word elsewhere."""
+    r = random.Random(4)
+    ways = ["contact: {}", "account={}", "user id {}", "call {}"]
+    rows = [(k, f"note {k} {r.choice(ways).format(f'u{k}@mail.example')} end of note") for k in range(200)]
+    hidden = {1000 + k: "".join(r.choice("abcxyz019") for _ in range(8)) for k in range(60)}
+    rows += [(i, f"note {r.choice(ways).format(v)} end") for i, v in hidden.items()] + [(2000 + k, "plain words that say nothing of accounts or of users") for k in range(50)]
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.spans if s.kind == 4] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert sum(got[i] == [v] for i, v in hidden.items()) >= 0.95 * len(hidden)
+    assert not any(got[2000 + k] for k in range(50))
+
+
+def test_many_matches_in_a_very_long_text(spark):
+    text = " ".join(f"u{k}@mail.example some {k}.1.2.3 words" for k in range(40000))
+    assert len(text) > 1 << 20
+    (row,) = pii.find_pii(frame(spark, [(1, text)])).collect()
+    assert [tuple(s) for s in row.base] == brute(text)
+
+
 def test_plan_has_no_python(spark, sf):
     plan = pii.op3_contextual_pii(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
