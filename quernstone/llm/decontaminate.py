@@ -10,8 +10,10 @@ backwards at once, one vectorised rank per symbol and level, and occurrences
 are located by walking to the next sampled position.
 
 The phrases go to the workers in blocks of at most ``BLOCK_BYTES`` (measured
-while they are read); each block is one more pass over the same rows in the
-same stage, so there is neither a limit on the benchmark nor a shuffle.
+while they are read), each a broadcast that lies on the workers' disks.  One
+pass takes a batch of rows through all blocks, one in memory at a time, so
+there is neither a limit on the benchmark nor a shuffle.  Of a block's phrases
+a shard's index is searched for those whose words it all has.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WINDOW = 13
 SAMPLE = 8
 BLOCK_BYTES = 8 << 20
 PERCENT = 5
+#: Rows put out at once.
+ROWS_OUT = 512
 END, OTHER = 0, 1  # the sequence's end and separators; words are 2 and more
 
 
@@ -159,13 +163,18 @@ def scan(chunk: tk.Chunk, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.
     index = FMIndex(np.append(text, END), len(phrases.alphabet) + 1)
     found_s, found_e, found_d, found_i = [none], [none], [none], [none]
     doc = spans.docs()
+    present = np.zeros(len(phrases.alphabet) + 2, bool)
+    present[text] = True
     for n, table in phrases.by_length.items():
-        lo, hi = index.search(table)
+        some = np.arange(len(table))
+        for k in range(n):
+            some = some[present[table[some, k]]]
+        lo, hi = index.search(table[some])
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
             continue
         places = word[index.locate(tk.ragged(lo[hit], hi[hit] - lo[hit]))]
-        phrase = np.repeat(hit, hi[hit] - lo[hit])
+        phrase = np.repeat(some[hit], hi[hit] - lo[hit])
         found_s.append(places)
         found_e.append(places + n)
         pairs = np.unique(doc[places] * len(table) + phrase)
@@ -196,29 +205,38 @@ def split_at(starts: np.ndarray, ends: np.ndarray, ptr: np.ndarray) -> tuple[np.
 _SPANS = pa.list_(pa.int64())
 
 
-def _pass(phrases_blob, text_col: str = "text"):
-    """One pass: adds what one block of phrases finds to ``spans`` (flat pairs of words) and ``items``."""
+def _take(blob, alone: bool) -> Phrases:
+    """The phrases of a broadcast; kept for the next batch only if there is no other block."""
+    phrases = blob.value
+    if not alone:
+        blob.__dict__.pop("_value", None)
+    return phrases
+
+
+def _search(blobs: list, text_col: str):
+    """Fills ``n_words, spans`` (flat pairs of words) and ``items`` of each row from all blocks."""
 
     def run(batches):
-        phrases = phrases_blob.value
         for batch in batches:
-            for chunk in tk.chunks(batch.column(text_col)):
-                part = batch.slice(chunk.lo, chunk.n)
-                spans_before, items_before = (part.column(c).to_pylist() for c in ("spans", "items"))
-                ptr, s, e, d, i = scan(chunk, phrases)
-                s, e = split_at(s, e, ptr) if len(s) else (s, e)
-                own = np.searchsorted(s, ptr)
-                at = np.searchsorted(d, np.arange(chunk.n + 1))
-                spans, items = [], []
-                for k in range(chunk.n):
-                    old_s, old_i = spans_before[k], items_before[k]
-                    a, b = s[own[k] : own[k + 1]] - ptr[k], e[own[k] : own[k + 1]] - ptr[k]
-                    if old_s:
-                        a, b = tk.merge_spans(np.append(a, old_s[0::2]), np.append(b, old_s[1::2]))
-                    spans.append(np.stack([a, b], 1).ravel().tolist())
-                    items.append(sorted({*i[at[k] : at[k + 1]].tolist(), *old_i}))
-                found = {"n_words": pa.array(np.diff(ptr), pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _SPANS)}
-                yield pa.RecordBatch.from_arrays([found.get(c, part.column(c)) for c in part.schema.names], names=part.schema.names)
+            spans, items, n_words = [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)], np.zeros(batch.num_rows, np.int64)
+            for blob in blobs:
+                phrases = _take(blob, len(blobs) == 1)
+                for chunk in tk.chunks(batch.column(text_col)):
+                    ptr, s, e, d, i = scan(chunk, phrases)
+                    n_words[chunk.lo : chunk.hi] = np.diff(ptr)
+                    s, e = split_at(s, e, ptr) if len(s) else (s, e)
+                    own = np.searchsorted(s, ptr)
+                    at = np.searchsorted(d, np.arange(chunk.n + 1))
+                    for k in np.flatnonzero(np.diff(own)).tolist():
+                        a, b, old = s[own[k] : own[k + 1]] - ptr[k], e[own[k] : own[k + 1]] - ptr[k], spans[chunk.lo + k]
+                        if old:
+                            a, b = tk.merge_spans(np.append(a, old[0::2]), np.append(b, old[1::2]))
+                        spans[chunk.lo + k] = np.stack([a, b], 1).ravel().tolist()
+                        items[chunk.lo + k].update(i[at[k] : at[k + 1]].tolist())
+            found = {"n_words": pa.array(n_words), "spans": pa.array(spans, _SPANS), "items": pa.array([sorted(x) for x in items], _SPANS)}
+            for lo in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(lo, ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([found[c].slice(lo, ROWS_OUT) if c in found else part.column(c) for c in part.schema.names], names=part.schema.names)
             tk.release()
 
     return run
@@ -228,9 +246,9 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``n_words, spans, items, n_hit, contaminated`` after all blocks of the benchmark."""
     empty = F.array().cast("array<bigint>")
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": empty, "items": empty})
-    for block in blocks(benchmark):
-        phrases = docs.sparkSession.sparkContext.broadcast(phrases_of(block))
-        found = found.mapInArrow(_pass(phrases, text_col), found.schema)
+    context = docs.sparkSession.sparkContext
+    blobs = [context.broadcast(phrases_of(block)) for block in blocks(benchmark)]
+    found = found.mapInArrow(_search(blobs, text_col), found.schema)
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda n, k: n + F.get("spans", k + 1) - F.get("spans", k))
     found = found.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= PERCENT * F.col("n_words")))
@@ -263,7 +281,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def keep_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that aren't contaminated.  No shuffle."""
+    """The rows of ``docs``, with all their columns, that aren't contaminated.  No shuffle.
+
+    Null and empty texts have no words and stay; repeated rows are judged each
+    for itself; an empty table stays empty; ids are not looked at.
+    """
     rows, names = numbered(docs)
     return named_again(_passes(rows, benchmark, names[text_col]).filter("not contaminated"), names)
 
@@ -284,7 +306,11 @@ def _cut(batches):
 
 
 def remove_spans(found: DataFrame) -> DataFrame:
-    """``doc_id, text`` without the words under the spans of :func:`find_contamination`."""
+    """``doc_id, text`` without the words under the spans of :func:`find_contamination`.
+
+    One row per row: null texts come back empty, null ids and repeated rows as
+    they are, an empty table gives no rows.
+    """
     return found.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text string")
 
 
