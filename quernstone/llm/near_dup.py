@@ -10,7 +10,7 @@
    among the rarest of both, so values that many documents have cost nothing
    unless a document consists of little else.
    The place of a value among a small set's bounds how much two sets can share
-   from there on, and so the sizes of partners (see ``fits`` below).
+   from there on, and so the sizes of partners (see ``most`` below).
 3. Overlaps are generated star-wise: in each list every document meets a
    pivot, over a few rounds with different pivots, and only while the two are
    not known to be connected.  The sketch of the union estimates the similarity
@@ -261,14 +261,13 @@ def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     The first set of an id is the id itself; others, where rows repeat an id,
     get numbers above all ids.
     """
-    key = F.struct("fp_hi", "fp_lo", "n")
-    span = rows.groupBy("doc_id").agg(F.min(key).alias("first"), F.max(key).alias("last")).withColumn("several", F.col("first") != F.col("last"))
+    span = rows.groupBy("doc_id").agg(F.min("fp_lo").alias("first"), F.max("fp_lo").alias("last")).withColumn("several", F.col("first") != F.col("last"))
     top, several = span.agg(F.max("doc_id"), F.coalesce(F.max("several"), F.lit(False))).first()
     if not several:
         return rows.withColumn("id", F.col("doc_id")), None
     if top >= 1 << 62:
         raise ValueError("ids that repeat with different texts need room above them: the largest must be under 2**62")
-    more = rows.join(span.filter("several").select("doc_id", "first"), "doc_id").filter(key != F.col("first")).select("doc_id", "fp_hi", "fp_lo", "n").distinct()
+    more = rows.join(span.filter("several").select("doc_id", "first"), "doc_id").filter(F.col("fp_lo") != F.col("first")).select("doc_id", "fp_hi", "fp_lo", "n").distinct()
     more = cut(more).withColumn("extra", F.monotonically_increasing_id() + top + 1)
     more = cut(more)
     named = rows.join(more, ["doc_id", "fp_hi", "fp_lo", "n"], "left").withColumn("id", F.coalesce("extra", "doc_id")).drop("extra")
@@ -309,10 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Two sets of which this is the first common value share n - at + 1 values at most, and 3/7 of n + n' or more at the threshold.
     at_least = F.floor((F.col("n") - F.col("at") + 1) * (NUM + DEN) / NUM + 1e-9) - F.col("n")
     most = F.when(F.col("n") <= exact, F.least(at_least, F.floor(F.col("n") * DEN / NUM))).otherwise(F.floor(F.col("n") * DEN / NUM)).cast("long")
-    found = ranked.filter(F.col("at") <= need).select("v", "id", "n", most.alias("most"))
-    ends = found.groupBy("v").agg(F.max("most").alias("top"), F.min("n").alias("low"))
-    fits = cut(join_anew(found, ends, "v").filter("n <= top and low <= most").select("v", "id", "n", "most"))
-    lists = join_anew(fits, fits.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1"), "v").drop("k")
+    lists = cut(ranked.filter(F.col("at") <= need).select("v", "id", "n", most.alias("most")))
 
     candidates = member.join(lists.select("id").distinct(), "id", "left_semi").filter("id = rep").select("doc_id", "id").distinct()
     if repeats is None:
@@ -324,10 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(texts.mapInArrow(_full_sets, "id long, full binary").dropDuplicates(["id"]) if repeats is not None else texts.mapInArrow(_full_sets, "id long, full binary"))
 
     def grouped(comps: DataFrame | None) -> DataFrame:
-        """The lists with each document's component, without those that lie in one."""
+        """The lists with each document's component, without those that lie in one, and without documents no other of the list fits."""
         now = lists.withColumn("comp", F.col("id")) if comps is None else lists.join(comps.select("id", "component"), "id", "left").select("v", "id", "n", "most", F.coalesce("component", "id").alias("comp"))
-        mixed = now.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("v")
-        return now.join(mixed, "v", "left_semi")
+        mixed = now.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("most").alias("top"), F.min("n").alias("low")).filter("c0 <> c1").select("v", "top", "low")
+        return now.join(mixed, "v").filter("n <= top and low <= most").select("v", "id", "n", "most", "comp")
 
     links, comps = None, None
     for k in range(PIVOT_ROUNDS):
