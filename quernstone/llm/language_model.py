@@ -45,6 +45,8 @@ SCORE_ROWS = 8192
 ROUNDS = 3
 RATE = 0.02
 FAN_IN = 16
+#: Logits are held within this, so that sums of their exponentials stay finite.
+LIMIT = 60.0
 END = np.uint64(0xE5D0A7C3B1F49682)
 FOLDS, HELD_OUT = 5, 1
 
@@ -69,7 +71,7 @@ class Model:
         r = np.random.default_rng(7)
         share = np.append(counts, max(1, others)) + 0.5
         start = {name: (r.normal(0, 0.1 if name == "E" else 1 / math.sqrt(hidden) / 2, shape)) for name, shape in self.shapes.items()}
-        start["bw"] = np.log(share)
+        start["bw"] = np.log(share / np.add.reduceat(share, self.limits[:-1])[self.class_of])
         start["bc"] = np.log(np.add.reduceat(share, self.limits[:-1]) / share.sum())
         self.flat = np.concatenate([start[name].ravel() for name in self.shapes]).astype(_f)
 
@@ -122,10 +124,9 @@ def log_probs(model: Model, w: dict, states: np.ndarray, words: np.ndarray, grad
     m = len(words)
     cls = model.class_of[words]
     rows = np.arange(m)
-    logit = states @ w["Wc"] + w["bc"]
-    logit -= logit.max(1, keepdims=True)
+    logit = np.clip(states @ w["Wc"] + w["bc"], -LIMIT, LIMIT)
     p = np.exp(logit)
-    total = p.sum(1)
+    total = p @ np.ones(model.k, p.dtype)
     out = logit[rows, cls] - np.log(total)
     back = None
     if grads is not None:
@@ -142,10 +143,9 @@ def log_probs(model: Model, w: dict, states: np.ndarray, words: np.ndarray, grad
         if not len(own) or b - a == 1:
             continue
         s, target = states[own], words[own] - a
-        logit = s @ w["Ww"][:, a:b] + w["bw"][a:b]
-        logit -= logit.max(1, keepdims=True)
+        logit = np.clip(s @ w["Ww"][:, a:b] + w["bw"][a:b], -LIMIT, LIMIT)
         p = np.exp(logit)
-        total = p.sum(1)
+        total = p @ np.ones(b - a, p.dtype)
         r = np.arange(len(own))
         out[own] += logit[r, target] - np.log(total)
         if grads is not None:
