@@ -163,8 +163,12 @@ def lines_to_delete(later: np.ndarray, earlier: np.ndarray, n_words: np.ndarray)
     if np.array_equal(later, earlier):  # a copy: all of it is one block
         gone[:] = n_words.sum() >= MIN_WORDS
     else:
-        gone[common_blocks(later.tolist(), earlier.tolist(), n_words.tolist())] = True
-        if not gone.all():
+        own, other = later.tolist(), earlier.tolist()
+        aligned = common_blocks(own, other, n_words.tolist())
+        gone[aligned] = True
+        both = set(other)
+        left = [k for k, x in enumerate(own) if x in both and not gone[k]]
+        if left and n_words[left].sum() + n_words[aligned].sum() >= MIN_WORDS:
             gone |= shared_runs(later, earlier, n_words)
     return np.flatnonzero(gone)
 
