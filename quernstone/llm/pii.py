@@ -13,8 +13,9 @@ Bootstrap.  Base spans are marked in the text, which is then split into tokens;
 a token with a mark is a seed.  A token stands in up to two lexical patterns:
 its own prefix up to a separator (``password=``) and the word before it; a seed
 in the first of them that it has.
-Patterns that ``SEEDS`` different seeds have are the contexts; every other
-token in a context is a candidate, with or without digits.  Patterns and tokens
+Patterns that ``SEEDS`` different seeds have, and at least a share ``HOPE`` of
+all that follows them, are the contexts; every other token in a context is a
+candidate, with or without digits.  Patterns and tokens
 (instances) form a bipartite graph, aggregated over the corpus; a few rounds
 move confidence along it: a pattern is as good as the mean of its instances,
 damped by ``DAMP`` unseen doubtful ones, and an instance is certain if it is a
@@ -51,6 +52,8 @@ ROUNDS = 3
 DAMP = 2.0
 ACCEPT, STRICT, SUPPORT, SEEDS = 0.6, 0.8, 5, 3
 MIN_LENGTH = 3
+#: Contexts of which fewer instances than this share are seeds (by a sketch) are left at once.
+HOPE = 0.1
 #: Contexts are broadcast up to here, and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
 
@@ -132,12 +135,12 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(spans(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def _marked(text: Column) -> Column:
-    """The text with a mark before each valid base match, and no white space inside."""
+def _marked(text: Column, inside: str) -> Column:
+    """The text with a mark before each valid base match, and ``inside`` for each white space in one ($0 is the space)."""
 
     def mark(text: Column, kind: str) -> Column:
         def one(x: Column) -> Column:
-            return F.concat(x["before"], F.when(_valid(kind, x["match"]), F.concat(F.lit(MARK), F.regexp_replace(x["match"], SPACE, GAP))).otherwise(x["match"]))
+            return F.concat(x["before"], F.when(_valid(kind, x["match"]), F.concat(F.lit(MARK), F.regexp_replace(x["match"], SPACE, inside))).otherwise(x["match"]))
 
         def whole(t: Column) -> Column:
             return F.concat(F.array_join(F.transform(_pieces(t, PATTERNS[kind]), one), ""), F.element_at(F.split(t, PATTERNS[kind], -1), -1))
@@ -154,22 +157,18 @@ def _of(function, kind: str):
     return lambda text: function(text, kind)
 
 
-def tokens(text: Column) -> Column:
-    """Array of (start, token, last): the tokens of a marked text, where each starts without the marks, and the token before it."""
+def _tokens(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE + "+", -1), "")
 
-    def with_last(found: Column) -> Column:
-        return F.transform(found, lambda x, k: F.struct(x["start"].alias("start"), x["token"].alias("token"), F.when(k > 0, F.get(found, k - 1)["token"]).alias("last")))
+
+def _placed_tokens(text: Column) -> Column:
+    """Array of (start, token) of a marked text; starts don't count the marks."""
 
     def placed(pieces: Column) -> Column:
-        starts = _running(F.transform(pieces, lambda t: F.length(F.translate(t, MARK, "")) + 1))
+        starts = _running(F.transform(pieces, lambda t: F.length(F.replace(t, F.lit(MARK), F.lit(""))) + 1))
         return F.filter(F.zip_with(pieces, starts, lambda t, at: F.struct(at.alias("start"), t.alias("token"))), lambda x: x["token"] != "")
 
-    return _let(_let(F.split(text, SPACE, -1), placed), with_last)
-
-
-def _before(last: Column) -> Column:
-    """The pattern of the word before; null if there is none or it holds a digit or a span."""
-    return F.when(~last.rlike(f"[0-9{MARK}]"), F.concat(F.lit("before:"), F.lower(last)))
+    return _let(F.split(text, SPACE, -1), placed)
 
 
 def _core(token: Column) -> tuple[Column, Column]:
@@ -178,28 +177,41 @@ def _core(token: Column) -> tuple[Column, Column]:
     return F.regexp_replace(rest, r"(?<=[\p{L}\p{N}+])[^\p{L}\p{N}+]++$", ""), F.length(token) - F.length(rest)
 
 
-def seed_patterns(docs: DataFrame) -> DataFrame:
-    """``(pattern, instance)`` of the marked tokens of ``docs(text, base)``."""
-    some = docs.filter(F.size("base") > 0).select(F.explode(F.filter(tokens(_marked(F.col("text"))), lambda x: F.contains(x["token"], F.lit(MARK)))).alias("t"))
-    left = F.substring_index("t.token", MARK, 1)
-    instance = F.lower(F.translate(F.substring_index("t.token", MARK, -1), GAP, " "))
-    prefix = F.regexp_extract(left, r"(?<!\p{L})(\p{L}{3,}+[=:#_-])$", 1)
-    pattern = F.when(F.length(prefix) > 0, F.concat(F.lit("prefix:"), F.lower(prefix))).otherwise(_before(F.col("t.last")))
-    return some.select(pattern.alias("pattern"), instance.alias("instance")).filter("pattern is not null").distinct()
+def _before(last: Column) -> Column:
+    return F.concat(F.lit("before:"), F.lower(last))
+
+
+def seeds_of(text: Column) -> Column:
+    """Array of (pattern, instance, token) of a text's base spans; ``token``: the first token of an instance, without punctuation."""
+
+    def seed(tokens: Column):
+        def one(token: Column, k: Column) -> Column:
+            left, span = F.substring_index(token, MARK, 1), F.lower(F.substring_index(token, MARK, -1))
+            prefix = F.regexp_extract(left, r"(?<!\p{L})(\p{L}{3,}+[=:#_-])$", 1)
+            last = F.when(k > 0, F.get(tokens, k - 1))
+            pattern = F.when(F.length(prefix) > 0, F.concat(F.lit("prefix:"), F.lower(prefix))).when(~last.rlike(f"[0-9{MARK}]"), _before(last))
+            whole = F.when(F.length(prefix) > 0, span).otherwise(F.lower(F.concat(left, span)))
+            return F.when(F.contains(token, F.lit(MARK)), F.struct(pattern.alias("pattern"), F.translate(span, GAP, " ").alias("instance"), _core(F.substring_index(whole, GAP, 1))[0].alias("token")))
+
+        return one
 
+    return _let(_tokens(_marked(text, GAP)), lambda t: F.filter(F.transform(t, seed(t)), lambda x: x["pattern"].isNotNull()))
 
-def candidates(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``(doc_id, fp, pattern, start, stop, instance)`` of the unmarked tokens of ``docs(doc_id, text, fp, base)`` that stand in ``contexts(pattern)``."""
-    text = F.when(F.size("base") > 0, _marked(F.col("text"))).otherwise(F.translate("text", MARK + GAP, INSTEAD * 2))
-    each = docs.select("doc_id", "fp", F.explode(tokens(text)).alias("t")).select("doc_id", "fp", "t.*").filter(~F.contains("token", F.lit(MARK)))
+
+def in_contexts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``(doc_id, fp, k, token, pattern)`` of the tokens of ``docs(doc_id, text, fp)`` that stand in ``contexts(pattern)``; ``k`` counts from 0."""
+    tokens = docs.select("doc_id", "fp", _tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    pairs = F.arrays_zip(F.col("t").alias("token"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.size("t") - 1)).alias("last"))
+    each = tokens.select("doc_id", "fp", F.posexplode(pairs).alias("k", "x")).select("doc_id", "fp", "k", "x.*").toDF("doc_id", "fp", "k", "token", "last")
     prefix = F.when(F.col("token").rlike(PREFIX + "."), F.concat(F.lit("prefix:"), F.lower(F.regexp_extract("token", PREFIX, 1))))
-    held = each.select("doc_id", "fp", "start", "token", F.explode(F.array_compact(F.array(_before(F.col("last")), prefix))).alias("pattern"))
+    held = each.select("doc_id", "fp", "k", "token", F.explode(F.array_compact(F.array(_before(F.col("last")), prefix))).alias("pattern"))
     few = contexts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    held = held.join(F.broadcast(contexts) if few else contexts, "pattern")
-    skip = F.when(F.col("pattern").startswith("prefix:"), F.length("pattern") - len("prefix:")).otherwise(F.lit(0))
-    core, lead = _core(F.col("rest"))
-    held = held.withColumn("skip", skip).withColumn("rest", F.substring("token", F.col("skip") + 1, F.length("token"))).withColumns({"core": core, "at": F.col("start") + F.col("skip") + lead})
-    return held.filter(F.length("core") >= MIN_LENGTH).select("doc_id", "fp", "pattern", F.col("at").alias("start"), (F.col("at") + F.length("core")).alias("stop"), F.lower("core").alias("instance"))
+    return held.join(F.broadcast(contexts) if few else contexts, "pattern")
+
+
+def _skip(pattern: Column) -> Column:
+    """How much of the token is the pattern itself."""
+    return F.when(pattern.startswith("prefix:"), F.length(pattern) - len("prefix:")).otherwise(F.lit(0))
 
 
 def score_patterns(occurrences: DataFrame) -> DataFrame:
@@ -226,19 +238,46 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     looked at.
     """
     docs = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("fp", F.xxhash64("text"))
-    docs = docs.withColumn("base", base_spans(F.col("text")))
-    seeds = cut(seed_patterns(docs))
-    contexts = cut(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).filter(f"seeds >= {SEEDS}").select("pattern"))
-    found = cut(candidates(docs, contexts))
+    rows = docs.withColumn("base", base_spans(F.col("text")))
+    none = F.array().cast("array<struct<pattern: string, instance: string, token: string>>")
+    rows = cut(rows.select("doc_id", "fp", "base", F.when(F.size("base") > 0, seeds_of(F.col("text"))).otherwise(none).alias("seeds")))
+    seeds = cut(rows.select(F.explode("seeds").alias("s")).select("s.*").distinct())
+    known = cut(seeds.groupBy("pattern").agg(F.count_distinct("instance").alias("seeds")).filter(f"seeds >= {SEEDS}"))
+    sizes = in_contexts(docs, known.select("pattern")).groupBy("pattern").agg(F.approx_count_distinct(F.lower("token")).alias("size"))
+    contexts = cut(known.join(sizes, "pattern").filter(F.col("seeds") >= HOPE * F.col("size")).select("pattern"))
+    found = in_contexts(docs, contexts).withColumn("instance", F.lower(_core(F.expr("substring(token, 1 + if(startswith(pattern, 'prefix:'), length(pattern) - 7, 0))"))[0]))
+    found = found.filter(F.length("instance") >= MIN_LENGTH).select("doc_id", "fp", "k", "pattern", "instance")
+    found = cut(found.join(seeds.select("pattern", F.col("token").alias("instance")).distinct(), ["pattern", "instance"], "left_anti"))
     edges = seeds.join(contexts, "pattern").select("pattern", "instance", F.lit(True).alias("seed")).unionByName(found.select("pattern", "instance", F.lit(False).alias("seed")))
     good = score_patterns(edges).filter(f"score >= {ACCEPT} and support >= {SUPPORT} and seeds >= {SEEDS}").select("pattern", "score")
     new = found.join(good, "pattern").filter((F.col("score") >= STRICT) | F.col("instance").rlike("[0-9]"))
-    new = new.groupBy("doc_id", "fp", "stop").agg(F.max("start").alias("start"))  # without a prefix that is a pattern itself
-    new = new.groupBy(F.col("doc_id").alias("new_id"), F.col("fp").alias("new_fp")).agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "stop")).alias("more"))
-    joined = docs.select("doc_id", "fp", "base").join(new, F.expr("doc_id <=> new_id and fp = new_fp"), "left")
+    new = new.groupBy("doc_id", "fp", "k").agg(F.max(_skip(F.col("pattern"))).alias("skip"))  # without a prefix that is a pattern itself
+    new = cut(new.groupBy(F.col("doc_id").alias("new_id"), F.col("fp").alias("new_fp")).agg(F.collect_list(F.struct("k", "skip")).alias("at")))
+    few = new.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
+    same = F.expr("doc_id <=> new_id and fp = new_fp")
+    texts = docs.dropDuplicates(["doc_id", "fp"]) if not few else docs
+    placed = texts.join(F.broadcast(new) if few else new, same).select("new_id", "new_fp", _places(F.col("text"), F.col("at")).alias("more")).dropDuplicates(["new_id", "new_fp"])
+    joined = rows.join(placed, same, "left")
     return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN)))).alias("spans"))
 
 
+def _places(text: Column, at: Column) -> Column:
+    """The spans of the tokens numbered ``at(k, skip)``, without those that a base span touches."""
+
+    def one(tokens: Column):
+        def place(x: Column) -> Column:
+            return _let(F.get(tokens, x["k"]), lambda t: _let(F.substring(t["token"], x["skip"] + 1, F.length(t["token"])), lambda rest: span(t, x["skip"], rest)))
+
+        def span(t: Column, skip: Column, rest: Column) -> Column:
+            core, lead = _core(rest)
+            start = t["start"] + skip + lead
+            return F.when(~F.contains(t["token"], F.lit(MARK)), F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), (start + F.length(core)).alias("stop")))
+
+        return place
+
+    return _let(_placed_tokens(_marked(text, "$0" + MARK)), lambda t: F.array_compact(F.transform(at, one(t))))
+
+
 def _written(spans: str) -> Column:
     names = F.array(*(F.lit(k) for k in (*KINDS, "id")))
     return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
