@@ -380,6 +380,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score(shared, n_all: int, v_all: int, n_other: int, v_other: int):
     def go(docs: pa.Table, answers: pa.Table) -> pa.Table:
         model, flat = shared.value
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the lanes, and with them the rounding, follow the order
         words, _ = bk.joined(answers.column("words"), np.uint64)
         wide = answers.column("wide").to_pylist()
         counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64 if k else np.uint32).astype(np.int64) for c, k in zip(answers.column("counts").to_pylist(), wide))])
